@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.common import small_batches
+from affinis.llm.common import ready_workers
 
-#: Pieces in each of the two generations of a worker's cache; longer pieces are never cached.
+#: Pieces in each of the two generations of a worker's cache (some 200 MB each when full); longer pieces are never kept.
 CACHE_PIECES, CACHE_CHARS = 400_000, 40
 #: Characters whose new pieces are merged together: enough to share the set-up, few enough for the CPU's caches.
 GROUP_CHARS = 250_000
@@ -220,7 +220,7 @@ def shared_tokenizer(spark: SparkSession, path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """(doc struct of the columns in ``keep``, ids array<int>)."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     own = shared_tokenizer(docs.sparkSession, path, pattern)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("doc"), F.col("text").alias("text"))
 
@@ -249,7 +249,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """(doc, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, returning digests instead of ids and bytes."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     own = shared_tokenizer(docs.sparkSession, path, pattern)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("doc"), F.col("text").alias("text"))
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what an Arrow batch of whole texts holds in a Python worker."""
+def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
+    """Send this package to the workers, and bound what an Arrow batch of whole texts holds there."""
+    context = spark.sparkContext
+    if getattr(context, "_affinis_sent", None) is None:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, True)
+        path = f"{folder}/affinis_package.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(path)  # the driver's file server hands it to the executors
+        context._affinis_sent = True
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.common import held_out, small_batches, unit_hash
+from affinis.llm.common import held_out, ready_workers, unit_hash
 
 UNKNOWN = "und"
 #: Buckets of the hashed n-grams (a power of two) and their lengths.
@@ -106,7 +106,7 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, li
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities by language and bucket, log priors) from text, lang and doc_id."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     usable = docs.where(~held_out() & F.col("lang").isNotNull())
     n = usable.count()
     chosen = usable.where(unit_hash(F.col("doc_id"), seed=8) < min(1.0, max_docs / max(1, n))).select("lang", "text").where(F.col("text").isNotNull())
@@ -170,7 +170,7 @@ def score(texts: list[str | None], langs: list[str], table: np.ndarray, prior: n
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """(doc struct of the columns in ``keep``, lang_pred, score)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready_workers(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("doc"), F.col("text").alias("text"))
 
