@@ -13,6 +13,7 @@ decoded. Strings of special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from affinis.llm.common import ready_workers
 
 #: Pieces in each of the two generations of a worker's cache (some 200 MB each when full); longer pieces are never kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 40
+CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Characters whose new pieces are merged together: enough to share the set-up, few enough for the CPU's caches.
 GROUP_CHARS = 250_000
 
@@ -187,7 +188,9 @@ class Tokenizer:
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         new = set().union(*group).difference(self.young)
+        gc.disable()  # nothing here has cycles, and a collection would visit the whole cache
         self._learn(new)
+        gc.enable()
         get = self.young.__getitem__
         for pieces in group:
             yield list(chain.from_iterable(map(get, pieces)))
