@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, langid, mixing, sharding, simhash_gray
+from affinis.llm import bpe, langid, mixing, quality, sharding, simhash_gray
 from affinis.llm.common import held_out, table
 
 
@@ -62,12 +62,18 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
     "op3_shard": op3_shard,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_language": op8_language,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL}
