@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, langid, mixing, quality, sharding, simhash_gray
+from affinis.llm import bpe, langid, mixing, pii, quality, sharding, simhash_gray
 from affinis.llm.common import held_out, table
 
 
@@ -62,6 +62,23 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of_kind(spans: Column, kind: str) -> Column:
+        return F.filter(spans, lambda s: s["kind"] == kind)
+
+    def in_order(spans: Column) -> Column:
+        return F.concat(*[F.array_sort(of_kind(spans, kind)) for kind in pii.KINDS])
+
+    counts = [F.size(of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    every = in_order(F.concat("base", "added"))
+    return found.select("doc.doc_id", *counts, F.sha2(written(in_order(F.col("base"))).cast("binary"), 256).alias("base_sha256"), written(every).alias("spans"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return scored.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
@@ -73,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": op3_shard,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_language": op8_language,
+    "op9_personal_data": op9_personal_data,
     "op10_quality": op10_quality,
 }
 
