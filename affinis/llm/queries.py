@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import bpe, langid, mixing, pii, quality, sharding, simhash_gray
+from affinis.llm import ann, bpe, langid, mixing, pii, quality, sharding, simhash_gray
 from affinis.llm.common import held_out, table
 
 
@@ -52,6 +52,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.components(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
     "op3_shard": op3_shard,
+    "op4_nearest": op4_nearest,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
