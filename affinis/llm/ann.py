@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.llm.common import ready_workers
+
 K = 10
 PROJECTIONS, THRESHOLD = 32, 20
 CERTAINTY, WIDEN = 0.9, 1.25
@@ -112,6 +114,7 @@ def _block(ids: Column, blocks: int, seed: int) -> Column:
 
 def nearest(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``queries`` (over ``id``) holds."""
+    ready_workers(vectors.sparkSession)
     rows = usable(vectors, vec_id, embedding)
     n, asked = rows.agg(F.count("*"), F.coalesce(F.sum(queries.cast("int")), F.lit(0))).first()
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
