@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import ann, bpe, langid, mixing, pii, quality, sharding, simhash_gray
+from affinis.llm import ann, bpe, fingerprint, langid, mixing, pii, quality, sharding, simhash_gray
 from affinis.llm.common import held_out, table
 
 
@@ -61,6 +61,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", fingerprint.written(F.col("fp")).alias("fingerprint"), fingerprint.written(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": op3_shard,
     "op4_nearest": op4_nearest,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_fingerprints": op7_fingerprints,
     "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
     "op10_quality": op10_quality,
