@@ -33,7 +33,7 @@ from affinis.llm.sharding import range_of
 #: Contract of the fingerprint query.
 SHINGLE_WORDS, RADIUS = 3, 2
 #: Fingerprints in a part, and the children of a node.
-PART, FAN = 16_384, 16
+PART, FAN = 1 << 17, 16
 #: Pairs of nodes that are compared at once.
 AT_ONCE = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
