@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import ann, bpe, fingerprint, langid, mixing, pii, quality, sharding, simhash_gray
-from affinis.llm.common import held_out, table
+from affinis.llm import ann, bpe, fingerprint, langid, linededup, mixing, pii, quality, sharding, simhash_gray
+from affinis.llm.common import full_text, held_out, table
 
 
 def bpe_files() -> tuple[str, str]:
@@ -61,6 +61,36 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("doc.doc_id", "n_lines", "n_gone", F.sha2(full_text().cast("binary"), 256).alias("text_sha256"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM split),
+firsts AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS f, length(line) AS len FROM lines WHERE line <> '' GROUP BY line),
+long AS (SELECT *, len // 2 AS half FROM firsts WHERE len >= 24),
+links AS (
+  SELECT a.line AS a, b.line AS b FROM long a JOIN long b ON a.len = b.len AND a.line < b.line AND left(a.line, a.half) = left(b.line, a.half)
+  WHERE levenshtein(a.line, b.line) <= 1
+  UNION SELECT a.line, b.line FROM long a JOIN long b ON a.len = b.len AND a.line < b.line AND right(a.line, a.len - a.half) = right(b.line, a.len - a.half)
+  WHERE levenshtein(a.line, b.line) <= 1
+  UNION SELECT a.line, b.line FROM long a JOIN long b ON b.len = a.len + 1 AND left(a.line, a.half) = left(b.line, a.half)
+  WHERE levenshtein(a.line, b.line) <= 1
+  UNION SELECT a.line, b.line FROM long a JOIN long b ON b.len = a.len + 1 AND right(a.line, a.len - a.half) = right(b.line, a.len - a.half)
+  WHERE levenshtein(a.line, b.line) <= 1),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a AS line, a AS other FROM both_ways UNION SELECT r.line, e.b FROM reached r JOIN both_ways e ON r.other = e.a),
+heads AS (SELECT r.line, min(f.f) AS head FROM reached r JOIN firsts f ON f.line = r.other GROUP BY r.line),
+kept AS (
+  SELECT l.doc_id, l.no, l.line, l.line = '' OR struct_pack(d := l.doc_id, n := l.no) = coalesce(h.head, f.f) AS stays
+  FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN heads h ON h.line = l.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_gone,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '')) AS text_sha256
+FROM kept GROUP BY doc_id"""
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", fingerprint.written(F.col("fp")).alias("fingerprint"), fingerprint.written(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -99,10 +129,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": op3_shard,
     "op4_nearest": op4_nearest,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op6_line_dedup": OP6_SQL}
