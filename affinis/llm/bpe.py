@@ -15,9 +15,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -250,21 +252,31 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """(doc, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, returning digests instead of ids and bytes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids): encode and decode in one pass.
+
+    Digests stand for the decoded bytes, and for the ids unless they are asked for.
+    """
     ready_workers(docs.sparkSession)
     own = shared_tokenizer(docs.sparkSession, path, pattern)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("doc"), F.col("text").alias("text"))
+    names = ["doc", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = own()
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, kept = [], [], [], []
             for ids in tokenizer.encode_batch(batch.column("text").to_pylist()):
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(tokenizer.text_of.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(tokenizer.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    out = T.StructType([rows.schema["doc"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return rows.mapInArrow(run, out)
+                if with_ids:
+                    kept.append(array("i", ids))
+            out = [batch.column("doc"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            if with_ids:
+                flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in kept] or [np.zeros(0, np.int32)]))
+                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, k) for c, k in zip(names[1:], kinds)]]))

@@ -280,12 +280,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, ["fp", "wide"], "left").select("id", "component_id")
 
 
+#: Up to so many ids of documents that go (8 MB) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which no near copy has a smaller id; of rows with that id and equal texts, one.
+    """The documents of which no near copy has a smaller id; of rows with equal id and text, one.
 
     Documents without an id are all kept: nothing says which of them would go.
     """
-    near = near_duplicates(docs).where("id = component_id").select(F.col("id").alias("__kept")).distinct()
+    near = cut(near_duplicates(docs))
+    gone = near.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    few = gone.count() <= BROADCAST_IDS
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("__id"))
-    kept = rows.join(near, F.col("__id") == F.col("__kept"), "left").where("__kept IS NOT NULL OR __id IS NULL")
-    return kept.select("doc.*")
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col("__id") == F.col("__gone"), "left_anti").select("doc.*")
+    repeated = near.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
