@@ -33,7 +33,7 @@ from affinis.llm.sharding import range_of
 #: Contract of the fingerprint query.
 SHINGLE_WORDS, RADIUS = 3, 2
 #: Fingerprints in a part, and the children of a node.
-PART, FAN = 1 << 17, 16
+PART, FAN = 1 << 17, 2
 #: Pairs of nodes that are compared at once.
 AT_ONCE = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -150,27 +150,31 @@ def walk(a: GrayIndex, b: GrayIndex, radius: int) -> Iterator[tuple[np.ndarray,
     """Pairs (i, j) of the lowest level of both whose shared bits differ in ``radius`` places at most."""
     if not len(a.levels[0][0]) or not len(b.levels[0][0]):
         return
+
+    def near(up: int, over: int, i: np.ndarray, j: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+        (ma, va), (mb, vb) = a.levels[up], b.levels[over]
+        keep = np.bitwise_count((va[i] ^ vb[j]) & ma[i] & mb[j]) <= radius
+        return up, over, i[keep], j[keep]
+
     up, over = len(a.levels) - 1, len(b.levels) - 1
-    i, j = (x.ravel().astype(np.int64) for x in np.meshgrid(np.arange(len(a.levels[up][0])), np.arange(len(b.levels[over][0])), indexing="ij"))
-    stack = [(up, over, i, j)]
-    while stack:
+    i, j = (x.ravel().astype(np.int32) for x in np.meshgrid(np.arange(len(a.levels[up][0])), np.arange(len(b.levels[over][0])), indexing="ij"))
+    stack = [near(up, over, i, j)]
+    step = max(1, AT_ONCE // (FAN * FAN))
+    while stack:  # of pairs that are near; those of a level are opened a few at a time
         up, over, i, j = stack.pop()
-        (ma, va), (mb, vb) = a.levels[up], b.levels[over]
-        near = np.bitwise_count((va[i] ^ vb[j]) & ma[i] & mb[j]) <= radius
-        i, j = i[near], j[near]
-        if not len(i):
-            continue
         if up == 0 and over == 0:
             yield i, j
             continue
-        step = max(1, AT_ONCE // (FAN * FAN))
-        down, under = max(up - 1, 0), max(over - 1, 0)
+        if len(i) > step:
+            stack.append((up, over, i[step:], j[step:]))
+            i, j = i[:step], j[:step]
         fan_a, fan_b = (FAN if up else 1), (FAN if over else 1)
-        for at in range(0, len(i), step):
-            p = (i[at : at + step, None, None] * fan_a + np.arange(fan_a)[None, :, None] + np.zeros(fan_b, np.int64)).ravel()
-            q = (j[at : at + step, None, None] * fan_b + np.zeros(fan_a, np.int64)[:, None] + np.arange(fan_b)[None, None, :]).ravel()
-            there = (p < len(a.levels[down][0])) & (q < len(b.levels[under][0]))
-            stack.append((down, under, p[there], q[there]))
+        up, over = max(up - 1, 0), max(over - 1, 0)
+        p = (i[:, None, None] * fan_a + np.arange(fan_a, dtype=np.int32)[None, :, None] + np.zeros(fan_b, np.int32)).ravel()
+        q = (j[:, None, None] * fan_b + np.zeros(fan_a, np.int32)[:, None] + np.arange(fan_b, dtype=np.int32)[None, None, :]).ravel()
+        there = (p < len(a.levels[up][0])) & (q < len(b.levels[over][0]))
+        if len(p):
+            stack.append(near(up, over, p[there], q[there]))
 
 
 class Forest:
