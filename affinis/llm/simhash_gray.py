@@ -243,7 +243,10 @@ def links(nodes: DataFrame, radius: int, wide_radius: int | None = None, part: i
     for i, j in walk(index, index, radius):
         pairs += [(upper[x][0], upper[y][0]) for x, y in zip(i, j) if x <= y]
     rows = [(p, 0, k, int(p == q)) for k, (p, q) in enumerate(pairs)] + [(q, 1, k, 0) for k, (p, q) in enumerate(pairs) if p != q]
-    dealt = placed.join(spark.createDataFrame(rows, "part int, side int, pair int, same int"), "part")
+    if splitters:
+        dealt = placed.join(spark.createDataFrame(rows, "part int, side int, pair int, same int"), "part")
+    else:
+        dealt = placed.select("*", *[F.lit(x).alias(c) for c, x in (("side", 0), ("pair", 0), ("same", 1))])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         fps = group["fp"].to_numpy(np.int64).view(np.uint64)
