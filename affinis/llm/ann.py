@@ -12,7 +12,8 @@ table: every block of queries meets every block of vectors once, and only k rows
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither as
 queries nor as candidates; vectors of another dimension than the query's are no candidates; ties go to the
-smaller id; rows that repeat an id are candidates each, but none for a query of the same id; fewer than k
+smaller id; rows that repeat an id are candidates each, but none for a query of the same id, and of those that ask the one with the
+least vector does; fewer than k
 candidates give as many rows; an empty table gives an empty result.
 """
 
@@ -121,7 +122,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_
     every_group, every_block = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (groups, blocks))
     # repeated rows of one id may share a block: the second hash takes the vector too
     kept = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), every_group.alias("group"), "id", "v", F.lit(0).alias("asks"))
-    asks = rows.where(queries).select(F.size("v").alias("dim"), every_block.alias("block"), _block(F.col("id"), groups, 2).alias("group"), "id", "v", F.lit(1).alias("asks"))
+    asks = rows.where(queries).groupBy("id").agg(F.min("v").alias("v")).select(F.size("v").alias("dim"), every_block.alias("block"), _block(F.col("id"), groups, 2).alias("group"), "id", "v", F.lit(1).alias("asks"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         asking = part["asks"].to_numpy() == 1
