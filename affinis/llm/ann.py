@@ -73,7 +73,7 @@ class Block:
         high = low.copy()
         best: list[tuple[float, int]] = []
         m = int(FIRST * n / 2)
-        wide = [s[min(at + m, n - 1)] - s[max(at - m, 0)] for s, at in zip(self.sorted, low)]
+        wide = [s[min(at + m, n - 1)] - s[min(max(at - m, 0), n - 1)] for s, at in zip(self.sorted, low)]
         half = max(float(np.median(wide)) / 2, 1e-6 * float(np.sqrt(query @ query)))
         done = 0
         while done < left:

@@ -327,7 +327,7 @@ def test_line_dedup(spark, none, edits):
                 x[k : k + pick.randint(0, 1)] = pick.choice(["", "z", "q"])
             lines.append("".join(x))
         data.append((i, "\n".join(lines + ["", "short"][: pick.randint(0, 2)])))
-    data += [(50, None), (51, ""), (52, "\n\n"), (53, base[0] * 2000), (54, base[0] * 2000 + "x")]
+    data += [(50, None), (51, ""), (52, "\n\n"), (53, base[0] * 40), (54, base[0] * 40 + "x")]
     df = spark.createDataFrame([(*x, "c") for x in data], "doc_id long, text string, line string").repartition(3)
     got = linededup.drop_repeated_lines(df, ["doc_id", "line"], edits).collect()
     want = plain_lines(data, edits)
@@ -336,6 +336,13 @@ def test_line_dedup(spark, none, edits):
     assert linededup.drop_repeated_lines(none).count() == 0
 
 
+def test_very_long_lines(spark):
+    line = prose("en", 12_000, 3)
+    data = [(1, line), (2, line[:30_000] + "Q" + line[30_000:]), (3, line[:40_000] + "QQQ" + line[40_003:])]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(data, "doc_id long, text string"), ["doc_id"]).collect()
+    assert {r.doc.doc_id: r.n_gone for r in got} == {1: 0, 2: 1, 3: 0}
+
+
 # 7
 def test_fingerprints_of_edits(spark, docs, none, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 7)
