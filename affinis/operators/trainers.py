@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.functions.workers import send_package
 from affinis.schema import Params
 
 MODEL = "reg double, side string, id long, bias double, factors array<double>, seen boolean"
@@ -83,6 +84,7 @@ def train_bpr(rows: pd.DataFrame, reg: float, p: Params, epochs: int) -> tuple[d
 
 def _grid(train: DataFrame, regs: tuple[float, ...], schema: str, run: Callable[[pd.DataFrame, float], pd.DataFrame]) -> DataFrame:
     """Each regularisation with all training rows, in a task of its own."""
+    send_package(train.sparkSession)
     rows = train.select("user_id", "item_id", "rating", F.explode(F.array(*map(F.lit, regs))).alias("reg")).repartition(len(regs) * 8, "reg")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
