@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import dot, logistic, steady
@@ -18,15 +18,19 @@ def with_factors(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFr
     return pairs.join(p, "user_id", "left").join(q, "item_id", "left")
 
 
-def _dot():
+def _dot() -> Column:
     return F.coalesce(dot(F.col("p"), F.col("q")), F.lit(0.0))
 
 
+def mf_value() -> Column:
+    """The prediction of a row with p, pb, q, qb and mu."""
+    return steady(F.col("mu") + F.coalesce("pb", F.lit(0.0)) + F.coalesce("qb", F.lit(0.0)) + _dot())
+
+
 def mf_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, mu: DataFrame) -> DataFrame:
     """Adds prediction: the mean, both biases and the product of the factors, each only where its side was trained."""
     both = with_factors(pairs, users, items).crossJoin(F.broadcast(mu))
-    value = F.col("mu") + F.coalesce("pb", F.lit(0.0)) + F.coalesce("qb", F.lit(0.0)) + _dot()
-    return both.withColumn("prediction", steady(value)).drop("p", "pb", "q", "qb", "mu")
+    return both.withColumn("prediction", mf_value()).drop("p", "pb", "q", "qb", "mu")
 
 
 def bpr_scores(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -59,11 +59,11 @@ class Workspace:
 
     @cached_property
     def user_means(self) -> DataFrame:
-        return prepare.means(self.train, "user_id", self.splits)
+        return self.keep(prepare.means(self.train, "user_id", self.splits))
 
     @cached_property
     def item_means(self) -> DataFrame:
-        return prepare.means(self.train, "item_id", self.splits)
+        return self.keep(prepare.means(self.train, "item_id", self.splits))
 
     # content
     @cached_property
@@ -225,10 +225,9 @@ class Workspace:
 
     def two_scores(self, split: str) -> DataFrame:
         """(user_id, pos, item_id, is_positive, a, b): raw scores of both factor models."""
-        rows = self.candidates(split)
-        a = self.mf(rows).withColumnRenamed("prediction", "a")
-        b = self.bpr(rows).withColumnRenamed("score", "b")
-        return rows.join(a, ["user_id", "item_id"]).join(b, ["user_id", "item_id"])
+        rows = factors.with_factors(self.candidates(split), self.mf_users, self.mf_items).crossJoin(F.broadcast(self.mu))
+        rows = rows.withColumn("a", factors.mf_value()).drop("p", "pb", "q", "qb", "mu")
+        return factors.bpr_scores(rows, self.bpr_users, self.bpr_items).withColumnRenamed("score", "b")
 
     @cached_property
     def ranking_sweep(self) -> DataFrame:

@@ -52,3 +52,12 @@ def test_bounds(spark):
     assert per <= 40
     for r in QUERIES["report_ranking"](spark, DATA).collect():
         assert 0 <= r.mrr <= r.ndcg + 1e-6 <= r.hit_rate + 2e-6 <= 1.000002
+
+
+def test_command_line(spark, tmp_path):
+    from affinis import cli
+
+    cli.main(["--data", DATA, "--out", str(tmp_path), "--stages", "global_mean", "movie_knn"])
+    cli.main(["--data", DATA, "--out", str(tmp_path), "--merge"])
+    got = spark.read.parquet(str(tmp_path / "results_merged")).collect()
+    assert sorted(r.stage for r in got) == ["global_mean", "movie_knn"]
