@@ -93,20 +93,23 @@ class Tokenizer:
             for k in range(1, len(token))
             if token[:k] in ranks and token[k:] in ranks
         }
+        #: The rank of each two bytes, by 256 times the first plus the second.
+        self.byte_pairs = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word by merges alone. END stands after each word; no pair with it is in the table."""
-        get, byte_ids = self.pairs.get, self.byte_ids
+        get, byte_ids, byte_pairs = self.pairs.get, self.byte_ids, self.byte_pairs
         ids: list[int] = [END]
+        rank_at: list[int | None] = [None]
         for word in words:
             ids += [byte_ids[b] for b in word]
             ids.append(END)
+            rank_at += [byte_pairs[(a << 8) | b] for a, b in zip(word, word[1:])]
+            rank_at += (None, None) if word else (None,)
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [get((a << 20) | b) for a, b in zip(ids, ids[1:])]
-        rank_at.append(None)
         bits = RankBits(self.size)
         add = bits.add
         buckets: dict[int, list[int]] = {}
