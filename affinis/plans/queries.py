@@ -196,7 +196,7 @@ register(
 # ensembles
 register("hybrid_alpha_sweep", f"SELECT alpha, {ROUND('rmse')} AS rmse FROM t_asweep", lambda w: w.alpha_sweep.withColumn("rmse", shown(F.col("rmse"))))
 register("hybrid_alpha", f"SELECT alpha, {ROUND('rmse')} AS rmse FROM t_alpha", lambda w: w.alpha.withColumn("rmse", shown(F.col("rmse"))))
-register("hybrid_predict", PREDICTED.format("t_hyb"), lambda w: _predicted(w.hybrid(w.split("test"))))
+register("hybrid_predict", PREDICTED.format("t_hyb"), lambda w: _predicted(w.split("test").select("user_id", "item_id").join(w.hybrid(w.split("test"), w.held_components), ["user_id", "item_id"])))
 register(
     "hybrid_rank_confident",
     f"SELECT user_id, pos, item_id, {ROUND('score')} AS score FROM t_s_hybrid_n",

@@ -78,7 +78,13 @@ class Workspace:
         return self.genre_features if kind == "genre" else self.tag_features
 
     def profiles(self, kind: str) -> DataFrame:
-        return content.profiles(self.train, self.features(kind))
+        if kind not in self._profiles:
+            self._profiles[kind] = self.keep(content.profiles(self.train, self.features(kind)))
+        return self._profiles[kind]
+
+    @cached_property
+    def _profiles(self) -> dict[str, DataFrame]:
+        return {}
 
     def cosines(self, pairs: DataFrame, kind: str) -> DataFrame:
         return content.likeness(pairs, self.profiles(kind), self.features(kind))
@@ -187,18 +193,22 @@ class Workspace:
         knn = self.user_knn(pairs).withColumnRenamed("prediction", "knn")
         return self.content(pairs, kind).withColumnRenamed("prediction", "content").join(knn, ["user_id", "item_id"])
 
+    @cached_property
+    def held_components(self) -> DataFrame:
+        """The components of both held-out splits, of which one fits the weight and the other is predicted."""
+        return self.keep(self.components(self.splits.where("split <> 'train'").select("user_id", "item_id")))
+
     @cached_property
     def alpha_sweep(self) -> DataFrame:
-        rows = self.split("validation")
-        return ensemble.alpha_sweep(rows.join(self.components(rows), ["user_id", "item_id"]), self.p.grid_steps)
+        return ensemble.alpha_sweep(self.split("validation").join(self.held_components, ["user_id", "item_id"]), self.p.grid_steps)
 
     @cached_property
     def alpha(self) -> DataFrame:
         return ensemble.best_alpha(self.alpha_sweep)
 
-    def hybrid(self, pairs: DataFrame) -> DataFrame:
-        """(user_id, item_id, prediction, n_neighbors)."""
-        rows = self.components(pairs).crossJoin(F.broadcast(self.alpha.select("alpha")))
+    def hybrid(self, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        """(user_id, item_id, prediction, n_neighbors); ``parts`` has the pairs' components, if they are known."""
+        rows = (self.components(pairs) if parts is None else parts).crossJoin(F.broadcast(self.alpha.select("alpha")))
         return self._steady(ensemble.confident(rows, F.col("alpha"))).select("user_id", "item_id", "prediction", "n_neighbors")
 
     def hybrid_ranking(self, pairs: DataFrame) -> DataFrame:
@@ -269,7 +279,8 @@ class Workspace:
 
     def predictions(self, stage: str, split: str = "test") -> DataFrame:
         rows = self.split(split)
-        return rows.join(self.predict(stage, rows), ["user_id", "item_id"])
+        found = self.hybrid(rows, self.held_components).drop("n_neighbors") if stage == "hybrid" else self.predict(stage, rows)
+        return rows.join(found, ["user_id", "item_id"])
 
     def rating_metrics(self, stage: str) -> DataFrame:
         return metrics.rating_metrics(self.predictions(stage), self.p.low, self.p.high)
