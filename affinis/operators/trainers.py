@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.functions.columns import dot, steady
 from affinis.functions.workers import send_package
+from affinis.operators.factors import mf_value
+from affinis.operators.metrics import positive_rank, ranking_metrics
 from affinis.schema import Params
 
 MODEL = "reg double, side string, id long, bias double, factors array<double>, seen boolean"
@@ -142,3 +145,35 @@ def mf_als(train: DataFrame, p: Params, reg: float, damping: float = 5.0) -> Dat
     a = users.select(F.lit("users").alias("side"), F.col("user_id").alias("id"), F.col("bu").alias("bias"), "factors")
     b = items.select(F.lit("items").alias("side"), F.col("item_id").alias("id"), F.col("bi").alias("bias"), "factors")
     return a.unionByName(b)
+
+
+def mf_errors(model: DataFrame, validation: DataFrame) -> DataFrame:
+    """(reg, rmse) of each model of a grid on held-out ratings; untrained sides say nothing."""
+    mu = model.where("side = 'mu'").select("reg", F.col("bias").alias("mu"))
+    rows = validation.crossJoin(F.broadcast(mu))  # as many rows as there are regularisations
+    for name, key, factors, bias in (("users", "user_id", "p", "pb"), ("items", "item_id", "q", "qb")):
+        own = model.where((F.col("side") == name) & F.col("seen"))
+        rows = rows.join(own.select("reg", F.col("id").alias(key), F.col("factors").alias(factors), F.col("bias").alias(bias)), ["reg", key], "left")
+    error = mf_value() - F.col("rating")
+    return rows.groupBy("reg").agg(steady(F.sqrt(F.avg(error * error))).alias("rmse"))
+
+
+def best_mf(errors: DataFrame) -> DataFrame:
+    """The least error; the first regularisation of equal ones."""
+    return errors.orderBy("rmse", "reg").limit(1)
+
+
+def bpr_quality(model: DataFrame, candidates: DataFrame, cutoff: int, n: int) -> DataFrame:
+    """(reg, hit_rate, ndcg, mrr) of each model of a grid on sampled candidates."""
+    regs = model.where("side = 'mu'").select("reg")
+    rows = candidates.crossJoin(F.broadcast(regs))
+    for name, key, factors in (("users", "user_id", "p"), ("items", "item_id", "q")):
+        own = model.where((F.col("side") == name) & F.col("seen"))
+        rows = rows.join(own.select("reg", F.col("id").alias(key), F.col("factors").alias(factors)), ["reg", key], "left")
+    scored = rows.withColumn("score", steady(F.coalesce(dot(F.col("p"), F.col("q")), F.lit(0.0))))
+    return ranking_metrics(positive_rank(scored, "reg"), cutoff, n, "reg").select("reg", "hit_rate", "ndcg", "mrr")
+
+
+def best_bpr(quality: DataFrame) -> DataFrame:
+    """The best NDCG; the larger regularisation of equal ones."""
+    return quality.orderBy(F.desc("ndcg"), F.desc("reg")).limit(1)

@@ -189,6 +189,11 @@ def test_trainers_learn(spark):
     assert same == losses
     grid = trainers.mf_grid(spark.createDataFrame(rows), p, 2)
     assert {r.reg for r in grid.select("reg").distinct().collect()} == set(p.mf_grid)
+    errors = {r.reg: r.rmse for r in trainers.mf_errors(grid, spark.createDataFrame(rows)).collect()}
+    for reg in p.mf_grid:
+        assert errors[reg] == pytest.approx(trainers.train_mf(rows.sort_values(["user_id", "item_id"], kind="stable").reset_index(drop=True), reg, p, 2)[1][-1], abs=1e-6)
+    tied = spark.createDataFrame([(0.02, 1.0, 0.5), (0.05, 1.0, 0.5)], "reg double, rmse double, ndcg double")
+    assert trainers.best_mf(tied).first().reg == 0.02 and trainers.best_bpr(tied).first().reg == 0.05
     assert trainers.side(grid.where(f"reg = {p.mf_grid[0]}"), "users", "user_id").count() == 40
 
 
