@@ -15,6 +15,7 @@ component unless all of its ids are null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -68,11 +69,15 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = 42) ->
     return _majority(_hashes(_shingles(_words(text), width), seed))
 
 
-def word_and_shingle_fingerprints(text: str | None, width: int, seeds: tuple[int, ...]) -> tuple[int, bytes]:
-    """A fingerprint of the words, each weighted by the root of its count, and a wide one of the shingles."""
+def word_and_shingle_fingerprints(text: str | None, width: int, seeds: tuple[int, ...]) -> tuple[int, bytes, int]:
+    """A fingerprint of the words, each weighted by the root of its count, a wide one of the shingles, and their band.
+
+    Bands are steps of the number of different shingles by the factor BAND: texts with a Jaccard similarity of at
+    least 1 / BAND are in the same band or in neighbouring ones.
+    """
     words = _words(text)
     if not words:
-        return 0, bytes(8 * len(seeds))
+        return 0, bytes(8 * len(seeds)), 0
     counts: dict[bytes, int] = {}
     for word in words:
         counts[word] = counts.get(word, 0) + 1
@@ -81,7 +86,8 @@ def word_and_shingle_fingerprints(text: str | None, width: int, seeds: tuple[int
     votes = weights @ bits
     narrow = int(np.packbits(2 * votes > weights.sum(), bitorder="little").view(np.uint64)[0])
     shingles = _shingles(words, width)
-    return narrow, b"".join(_majority(_hashes(shingles, seed)).to_bytes(8, "little") for seed in seeds)
+    wide = b"".join(_majority(_hashes(shingles, seed)).to_bytes(8, "little") for seed in seeds)
+    return narrow, wide, 1 + int(math.log(len(set(shingles))) / math.log(BAND) + 1e-9)
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -102,16 +108,16 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, width: int = SH
 
 
 def near_fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...]) -> DataFrame:
-    """(id, fp long, wide binary)."""
+    """(id, fp long, wide binary, band int)."""
     ready_workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [word_and_shingle_fingerprints(t, width, seeds) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _signed([x for x, _ in both]), pa.array([x for _, x in both], pa.binary())], ["id", "fp", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _signed([x[0] for x in both]), pa.array([x[1] for x in both], pa.binary()), pa.array([x[2] for x in both], pa.int32())], ["id", "fp", "wide", "band"])
 
-    return rows.mapInArrow(run, "id long, fp long, wide binary")
+    return rows.mapInArrow(run, "id long, fp long, wide binary, band int")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -202,32 +208,46 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1) <= most
 
 
-def local_links(fps: np.ndarray, side: np.ndarray, same: bool, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (places in ``fps``) of the links between both sides, or within one if ``same``."""
+def local_links(fps: np.ndarray, side: np.ndarray, same: bool, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0, band: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places in ``fps``) of the links between both sides, or within one if ``same``.
+
+    With ``band``, links are between equal or neighbouring bands alone.
+    """
     order = np.argsort(_gray_rank(fps), kind="stable")
-    left, right = (order, order) if same else (order[side[order] == 0], order[side[order] == 1])
-    a = GrayIndex.of(fps[left])
-    b = a if same else GrayIndex.of(fps[right])
+    band = np.zeros(len(fps), np.int64) if band is None else band
     forest = Forest(len(fps))
-    for i, j in walk(a, b, radius):
-        if same:
-            i, j = i[i < j], j[i < j]
-        i, j = left[i], right[j]
-        if wide is not None:
-            sure = _near(wide[i], wide[j], wide_radius)
-            i, j = i[sure], j[sure]
-        if len(i):
-            forest.join(i, j)
+    left = {x: order[(band[order] == x) & (same | (side[order] == 0))] for x in np.unique(band)}
+    right = left if same else {x: order[(band[order] == x) & (side[order] == 1)] for x in np.unique(band)}
+    index = {(k, x): GrayIndex.of(fps[places]) for k, places_of in enumerate((left, right)[: 1 if same else 2]) for x, places in places_of.items()}
+    for x in left:
+        for y in (x, x + 1) if same else (x - 1, x, x + 1):
+            if y not in right:
+                continue
+            for i, j in walk(index[0, x], index[0 if same else 1, y], radius):
+                if same and x == y:
+                    i, j = i[i < j], j[i < j]
+                i, j = left[x][i], right[y][j]
+                if wide is not None:
+                    sure = _near(wide[i], wide[j], wide_radius)
+                    i, j = i[sure], j[sure]
+                if len(i):
+                    forest.join(i, j)
     forest.join(np.zeros(0, np.int64), np.zeros(0, np.int64))
     low = np.flatnonzero(forest.root != np.arange(len(fps)))
     return low, forest.root[low]
 
 
 def links(nodes: DataFrame, radius: int, wide_radius: int | None = None, part: int = PART) -> DataFrame:
-    """(a, b): a spanning forest of the links between the nodes (node long, fp long and, with ``wide_radius``, wide binary)."""
+    """(a, b): a spanning forest of the links between the nodes (node long, fp long and, with ``wide_radius``, wide binary and band int).
+
+    Parts are runs of Gray order, within runs of bands.
+    """
     spark = nodes.sparkSession
     ready_workers(spark)
-    ranked = cut(nodes.withColumn("rank", gray_rank(F.col("fp"))))
+    if wide_radius is None:
+        nodes = nodes.withColumn("band", F.lit(0))
+    place = F.shiftleft(F.col("band").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63))), 8))
+    ranked = cut(nodes.withColumn("rank", gray_rank(F.col("fp")) if wide_radius is None else place))
     n = ranked.count()
     parts = max(1, -(-n // part))
     splitters: list[int] = []
@@ -235,13 +255,13 @@ def links(nodes: DataFrame, radius: int, wide_radius: int | None = None, part: i
         cuts = F.percentile_approx("rank", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(10_000, 40 * parts)))
         splitters = sorted(set(ranked.agg(cuts.alias("x")).first()["x"]))
     placed = ranked.withColumn("part", range_of(F.col("rank"), splitters).cast("int")).drop("rank")
-    upper = sorted(map(tuple, placed.groupBy("part").agg(F.bit_and("fp"), F.bit_or("fp")).collect()))  # a row for each part
+    upper = sorted(map(tuple, placed.groupBy("part").agg(F.bit_and("fp"), F.bit_or("fp"), F.min("band"), F.max("band")).collect()))  # a row for each part
     ones = np.array([x[1] for x in upper], np.int64).view(np.uint64)
     some = np.array([x[2] for x in upper], np.int64).view(np.uint64)
     index = GrayIndex(~(ones ^ some), ones)
     pairs = []
     for i, j in walk(index, index, radius):
-        pairs += [(upper[x][0], upper[y][0]) for x, y in zip(i, j) if x <= y]
+        pairs += [(upper[x][0], upper[y][0]) for x, y in zip(i, j) if x <= y and upper[y][3] - upper[x][4] <= 1 and upper[x][3] - upper[y][4] <= 1]
     rows = [(p, 0, k, int(p == q)) for k, (p, q) in enumerate(pairs)] + [(q, 1, k, 0) for k, (p, q) in enumerate(pairs) if p != q]
     if splitters:
         dealt = placed.join(spark.createDataFrame(rows, "part int, side int, pair int, same int"), "part")
@@ -253,11 +273,11 @@ def links(nodes: DataFrame, radius: int, wide_radius: int | None = None, part: i
         wide = None
         if wide_radius is not None:
             wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(len(fps), -1)
-        i, j = local_links(fps, group["side"].to_numpy(), bool(group["same"].max()), radius, wide, wide_radius or 0)
+        i, j = local_links(fps, group["side"].to_numpy(), bool(group["same"].max()), radius, wide, wide_radius or 0, group["band"].to_numpy(np.int64))
         node = group["node"].to_numpy(np.int64)
         return pd.DataFrame({"a": node[i], "b": node[j]})
 
-    columns = ["pair", "side", "same", "node", "fp"] + (["wide"] if wide_radius is not None else [])
+    columns = ["pair", "side", "same", "node", "fp", "band"] + (["wide"] if wide_radius is not None else [])
     return dealt.select(*columns).groupBy("pair").applyInPandas(run, "a long, b long")
 
 
@@ -275,13 +295,15 @@ def components(docs: DataFrame, keep: list[str] | None = None, width: int = SHIN
 
 #: Near-duplicates: the words' fingerprints within NEAR_RADIUS bits, and the wide fingerprints of five-word
 #: shingles within NEAR_WIDE of 256 bits, which is what a Jaccard similarity of 0.8 gives, plus a deviation.
-NEAR_WORDS, NEAR_SEEDS, NEAR_RADIUS, NEAR_WIDE = 5, (1, 2, 3, 4), 4, 44
+NEAR_WORDS, NEAR_SEEDS, NEAR_RADIUS, NEAR_WIDE = 5, (1, 2, 3, 4), 6, 46
+#: The least similarity is 1 / BAND, in numbers of different shingles.
+BAND = 1.25
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(id, component_id) of each document, over near copies: five-word shingles of a similarity of about 0.8 or more."""
     marked = cut(near_fingerprints(docs, NEAR_WORDS, NEAR_SEEDS))
-    nodes = cut(marked.groupBy("fp", "wide").agg(F.min("id").alias("node")).where("node IS NOT NULL"))
+    nodes = cut(marked.groupBy("fp", "wide").agg(F.min("id").alias("node"), F.min("band").alias("band")).where("node IS NOT NULL"))
     found = connected_components(links(nodes, NEAR_RADIUS, NEAR_WIDE))
     named = nodes.join(found, "node", "left").select("fp", "wide", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, ["fp", "wide"], "left").select("id", "component_id")

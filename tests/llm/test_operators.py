@@ -464,3 +464,27 @@ def test_quality(spark, docs, none):
 
 def test_all_ten_are_registered():
     assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11))
+
+
+def test_bands_lose_no_link_within_a_step():
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    f = np.unique(np.concatenate([f, f ^ np.uint64(5), f ^ np.uint64(1 << 40)]))
+    band, side = rng.integers(0, 4, len(f)), rng.integers(0, 2, len(f))
+    near = np.bitwise_count(f[:, None] ^ f[None]) <= 3
+    for same in (True, False):
+        i, j = simhash_gray.local_links(f, side, same, 3, band=band)
+        want = [(a, b) for a, b in zip(*np.nonzero(near)) if a != b and abs(band[a] - band[b]) <= 1 and (same or side[a] != side[b])]
+        assert plain_components(len(f), zip(i, j)) == plain_components(len(f), want)
+
+
+def test_near_copies_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash_gray, "links", lambda nodes, r, w, f=simhash_gray.links: f(nodes, r, w, part=20))
+    data = []
+    for k in range(40):
+        base = [f"w{(i * 7919 + k * 31) % 5003}" for i in range(60 + 10 * k)]
+        near = base[:]
+        near[30] = "other"
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    got = {r.id: r.component_id for r in simhash_gray.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(40)) >= 37
