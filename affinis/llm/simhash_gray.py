@@ -15,7 +15,6 @@ component unless all of its ids are null; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.common import cut, ready_workers
+from affinis.llm.common import cut, full_text, ready_workers
 from affinis.llm.components import connected_components
 from affinis.llm.sharding import range_of
 
@@ -69,27 +68,6 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = 42) ->
     return _majority(_hashes(_shingles(_words(text), width), seed))
 
 
-def word_and_shingle_fingerprints(text: str | None, width: int, seeds: tuple[int, ...]) -> tuple[int, bytes, int]:
-    """A fingerprint of the words, each weighted by the root of its count, a wide one of the shingles, and their band.
-
-    Bands are steps of the number of different shingles by the factor BAND: texts with a Jaccard similarity of at
-    least 1 / BAND are in the same band or in neighbouring ones.
-    """
-    words = _words(text)
-    if not words:
-        return 0, bytes(8 * len(seeds)), 0
-    counts: dict[bytes, int] = {}
-    for word in words:
-        counts[word] = counts.get(word, 0) + 1
-    weights = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-    bits = np.unpackbits(_hashes(list(counts), 42).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = weights @ bits
-    narrow = int(np.packbits(2 * votes > weights.sum(), bitorder="little").view(np.uint64)[0])
-    shingles = _shingles(words, width)
-    wide = b"".join(_majority(_hashes(shingles, seed)).to_bytes(8, "little") for seed in seeds)
-    return narrow, wide, 1 + int(math.log(len(set(shingles))) / math.log(BAND) + 1e-9)
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
@@ -107,19 +85,6 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, width: int = SH
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def near_fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...]) -> DataFrame:
-    """(id, fp long, wide binary, band int)."""
-    ready_workers(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [word_and_shingle_fingerprints(t, width, seeds) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _signed([x[0] for x in both]), pa.array([x[1] for x in both], pa.binary()), pa.array([x[2] for x in both], pa.int32())], ["id", "fp", "wide", "band"])
-
-    return rows.mapInArrow(run, "id long, fp long, wide binary, band int")
-
-
 def gray_rank(fp: Column) -> Column:
     """The place of a code in Gray order, as a long that sorts as the unsigned rank."""
     for by in (1, 2, 4, 8, 16, 32):
@@ -293,20 +258,152 @@ def components(docs: DataFrame, keep: list[str] | None = None, width: int = SHIN
     return marked.join(named, "fp").select("doc", "fp", "component_id")
 
 
-#: Near-duplicates: the words' fingerprints within NEAR_RADIUS bits, and the wide fingerprints of five-word
-#: shingles within NEAR_WIDE of 256 bits, which is what a Jaccard similarity of 0.8 gives, plus a deviation.
-NEAR_WORDS, NEAR_SEEDS, NEAR_RADIUS, NEAR_WIDE = 5, (1, 2, 3, 4), 6, 46
-#: The least similarity is 1 / BAND, in numbers of different shingles.
-BAND = 1.25
+#: Near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
+NEAR_WORDS, SIMILAR = 5, (4, 5)
+#: Candidates share a table's key, NEAR_ROWS minima of hashed shingles: a pair of similarity s meets in none of
+#: the tables with a chance of (1 - s ** NEAR_ROWS) ** NEAR_TABLES, 3 in a million at 0.8, whatever the edits are.
+NEAR_TABLES, NEAR_ROWS = 24, 4
+#: A group that is compared holds about so many shingles; larger ones are cut into blocks, each pair of which is a group.
+BLOCK = 1 << 21
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (NEAR_TABLES * NEAR_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of the different five-word shingles; the words themselves where there are fewer."""
+    return np.unique(_hashes(_shingles(_words(text), NEAR_WORDS), 42))
+
+
+def table_keys(grams: np.ndarray) -> np.ndarray:
+    """A key for each table, of the least hashes of the shingles."""
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for at in range(0, len(grams), 1 << 12):
+        least = np.minimum(least, (_FACTORS * grams[None, at : at + (1 << 12)]).min(1))
+    least = least.reshape(NEAR_TABLES, NEAR_ROWS)
+    keys = np.arange(1, NEAR_TABLES + 1, dtype=np.uint64)
+    for k in range(NEAR_ROWS):
+        keys = (keys ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _node() -> Column:
+    return F.xxhash64(full_text())
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate([*arrays, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(id, node, n, keys): a hash of the text, its number of different shingles, and a key for each table."""
+    ready_workers(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _node().alias("node"), F.col("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = [], []
+            for text in batch.column("text").to_pylist():
+                grams = shingle_set(text)
+                sizes.append(len(grams))
+                keys.append(table_keys(grams))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(sizes, pa.int32()), _lists(keys)], ["id", "node", "n", "keys"])
+
+    return rows.mapInArrow(run, "id long, node long, n int, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, grams) of the texts in ``wanted`` (node)."""
+    few = wanted.count() <= BROADCAST_IDS
+    rows = docs.where("doc_id IS NOT NULL").select(_node().alias("node"), "text").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    texts = rows.groupBy("node").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, grams), pa.int32()), _lists(grams)], ["node", "n", "grams"])
+
+    return texts.mapInArrow(run, "node long, n int, grams array<long>")
+
+
+def _alike(common: Column | np.ndarray, total: Column | np.ndarray) -> Column | np.ndarray:
+    """common / (total - common) >= SIMILAR, without a division; true of two empty sets."""
+    return common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]
+
+
+def exact_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places in ``sets``) of the similar pairs across labels, between both sides or within one if ``same``."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    root = np.unique(label, return_inverse=True)[1]
+    here = np.zeros(len(vocabulary), np.int32)
+    out_a, out_b = [], []
+    for p in range(len(sets)):
+        other = root != root[p]
+        other &= (np.arange(len(sets)) > p) if same else (side != side[p]) & (side[p] == 0)
+        other &= _alike(np.minimum(sizes, sizes[p]), sizes + sizes[p])
+        if not other.any():
+            continue
+        here[flat[ends[p] - sizes[p] : ends[p]]] = 1
+        found = np.flatnonzero(other)
+        common = np.array([here[flat[ends[q] - sizes[q] : ends[q]]].sum() for q in found]) if len(found) < len(sets) // 8 else np.diff(np.concatenate([[0], np.cumsum(here[flat])])[np.concatenate([[0], ends])])[found]
+        here[flat[ends[p] - sizes[p] : ends[p]]] = 0
+        for q in found[_alike(common, sizes[found] + sizes[p])]:
+            if root[q] != root[p]:
+                out_a.append(p)
+                out_b.append(q)
+                root[root == root[q]] = root[p]
+    return np.array(out_a, int), np.array(out_b, int)
+
+
+def similar_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join all similar nodes that share a key. ``members``: (key, node, n, leader).
+
+    First each node is compared with the leader of its keys, in rows as many as the members. Only keys whose nodes
+    this leaves in several components are compared in full, across these, and keys of equal nodes once.
+    """
+    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
+    total = F.col("na") + F.col("nb")
+    alike = _alike(F.least("na", "nb"), total) & _alike(F.size(F.array_intersect("ga", "gb")), total)
+    first = cut(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
+    found = connected_components(first)
+    labelled = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    sums = [F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("n").alias("shingles")]
+    # a key of two nodes has been compared in full
+    unsettled = labelled.groupBy("key").agg(*sums).where("low < high AND rows > 2").groupBy("nodes", "rows", "shingles").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("shingles") / F.lit(BLOCK)).cast("int")
+    dealt = labelled.drop("n").join(unsettled.select("key", F.greatest(blocks, F.lit(1)).alias("blocks")), "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = exact_links([np.asarray(g, np.int64) for g in group["grams"]], group["label"].to_numpy(np.int64), group["side"].to_numpy(), bool((group["i"] == group["j"]).all()))
+        node = group["node"].to_numpy(np.int64)
+        return pd.DataFrame({"a": node[x], "b": node[y]})
+
+    rest = dealt.join(sets.select("node", "grams"), "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return first.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(id, component_id) of each document, over near copies: five-word shingles of a similarity of about 0.8 or more."""
-    marked = cut(near_fingerprints(docs, NEAR_WORDS, NEAR_SEEDS))
-    nodes = cut(marked.groupBy("fp", "wide").agg(F.min("id").alias("node"), F.min("band").alias("band")).where("node IS NOT NULL"))
-    found = connected_components(links(nodes, NEAR_RADIUS, NEAR_WIDE))
-    named = nodes.join(found, "node", "left").select("fp", "wide", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, ["fp", "wide"], "left").select("id", "component_id")
+    """(id, node, component_id) of each document, over near copies: five-word shingles of a similarity of 0.8 or more.
+
+    Candidates share a key of a table; each link is confirmed on both sets of shingles. Links are followed through,
+    so a component can hold pairs of less. Nodes are hashes of texts; documents without an id link nothing.
+    """
+    signed = cut(signatures(docs))
+    rows = cut(signed.where("id IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))).select("node", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
+    members = cut(rows.join(shared, "key").select("key", "node", "n", "leader"))
+    sets = cut(shingle_sets(docs, members.select("node").distinct()))
+    found = connected_components(cut(similar_links(members, sets)))
+    least = signed.where("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = least.join(ids, "component").select("node", "component_id")
+    return signed.select("id", "node").join(named, "node", "left").select("id", "node", "component_id")
 
 
 #: Up to so many ids of documents that go (8 MB) are broadcast; beyond, they are joined by a shuffle.

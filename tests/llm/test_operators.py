@@ -488,3 +488,32 @@ def test_near_copies_over_parts(spark, monkeypatch):
         data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
     got = {r.id: r.component_id for r in simhash_gray.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(40)) >= 37
+
+
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def edited(seed):
+    """(text, text) pairs of 100 and 400 words: a passage appended, cut off, inserted or cut out, of similarities from 0.7 to 0.95."""
+    rng = np.random.default_rng(seed)
+
+    def words(n):
+        return [f"w{x}" for x in rng.zipf(1.3, n) % 5000]
+
+    for n in (100, 400):
+        for share in (0.04, 0.08, 0.12, 0.16, 0.19, 0.21, 0.25, 0.3):
+            for kind in range(4):
+                base = words(n)
+                k, at = int(n * share), int(rng.integers(n // 4, n // 2))
+                yield " ".join(base), " ".join([base + words(int(k / (1 - share))), base[:-k], base[:at] + words(int(k / (1 - share))) + base[at:], base[:at] + base[at + k :]][kind])
+
+
+def test_near_copies_of_every_kind_of_edit(spark):
+    pairs = [p for seed in range(4) for p in edited(seed)]
+    alike = [len(a & b) / len(a | b) for a, b in ((shingles_of(x), shingles_of(y)) for x, y in pairs)]
+    data = [(2 * k + i, text) for k, p in enumerate(pairs) for i, text in enumerate(p)]
+    got = {r.id: r.component_id for r in simhash_gray.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(0.8 <= x < 0.85 for x in alike) >= 20 and sum(x >= 0.85 for x in alike) >= 60
+    assert [k for k, x in enumerate(alike) if x >= 0.8 and got[2 * k + 1] != 2 * k] == []
