@@ -517,3 +517,23 @@ def test_near_copies_of_every_kind_of_edit(spark):
     got = {r.id: r.component_id for r in simhash_gray.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert sum(0.8 <= x < 0.85 for x in alike) >= 20 and sum(x >= 0.85 for x in alike) >= 60
     assert [k for k, x in enumerate(alike) if x >= 0.8 and got[2 * k + 1] != 2 * k] == []
+
+
+@pytest.mark.parametrize("block", [1 << 21, 600])
+def test_near_copies_are_those_of_exact_similarities(spark, monkeypatch, block):
+    """Groups about the threshold, whose members are like some others and not their leader, in one block and in several."""
+    monkeypatch.setattr(simhash_gray, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (30, 80, 200):
+        base = [f"w{x}" for x in rng.integers(0, 3000, n)]
+        for k in range(40):
+            copy = base[:]
+            for at in rng.integers(0, n, rng.integers(1, 1 + n // 25)):
+                copy[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [shingles_of(t) for t in texts]
+    like = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a)]
+    assert sum(0.7 <= x < 0.8 for _, _, x in like) > 100
+    got = {r.id: r.component_id for r in simhash_gray.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_components(len(texts), [(a, b) for a, b, x in like if x >= 0.8])
