@@ -406,19 +406,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("id", "node").join(named, "node", "left").select("id", "node", "component_id")
 
 
-#: Up to so many ids of documents that go (8 MB) are broadcast; beyond, they are joined by a shuffle.
+#: Up to so many documents that go (16 MB of ids and nodes) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which no near copy has a smaller id; of rows with equal id and text, one.
 
-    Documents without an id are all kept: nothing says which of them would go.
+    Different texts under one id are judged each by its own copies. Documents without an id are all kept: nothing
+    says which of them would go.
     """
     near = cut(near_duplicates(docs))
-    gone = near.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    gone = near.where("id <> component_id").select(F.col("id").alias("__gone"), F.col("node").alias("__copy")).distinct()
     few = gone.count() <= BROADCAST_IDS
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("__id"))
-    kept = rows.join(F.broadcast(gone) if few else gone, F.col("__id") == F.col("__gone"), "left_anti").select("doc.*")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("__id"), _node().alias("__node"))
+    kept = rows.join(F.broadcast(gone) if few else gone, (F.col("__id") == F.col("__gone")) & (F.col("__node") == F.col("__copy")), "left_anti").select("doc.*")
     repeated = near.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))

@@ -537,3 +537,10 @@ def test_near_copies_are_those_of_exact_similarities(spark, monkeypatch, block):
     assert sum(0.7 <= x < 0.8 for _, _, x in like) > 100
     got = {r.id: r.component_id for r in simhash_gray.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(texts))] == plain_components(len(texts), [(a, b) for a, b, x in like if x >= 0.8])
+
+
+def test_a_repeated_id_loses_only_its_copy(spark):
+    base, own = ([f"{x}{k * 7919 % 1009}" for k in range(200)] for x in "wv")
+    data = [(1, base), (5, base[:-5]), (5, own), (9, own[:-5])]
+    got = simhash_gray.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, " ".join(base)), (5, " ".join(own))]
