@@ -233,3 +233,12 @@ def test_artifacts(spark, tmp_path):
     assert store.read_factors("mf", 1, 2).count() == 1 and store.read_factors("mf", 9, 2) is None
     parts = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (1, "b", 3.0)], "part int, stage string, rmse double")
     assert {r.stage: r.rmse for r in merge_results(parts).collect()} == {"a": 2.0, "b": 3.0}
+
+
+def test_every_positive_has_a_negative(spark):
+    """User 1 knows all but one of 30 items, user 2 all but three, user 3 all."""
+    rows = [(1, k, 4.0) for k in range(29)] + [(2, k, 4.0) for k in range(27)] + [(3, k, 4.0) for k in range(30)]
+    train = spark.createDataFrame(rows, RATED)
+    got = candidates.bpr_negatives(train, train, 42).collect()
+    assert sorted((r.user_id, r.item_id) for r in got) == [x[:2] for x in rows if x[0] < 3]
+    assert {r.negative for r in got if r.user_id == 1} == {29} and {r.negative for r in got if r.user_id == 2} == {27, 28, 29}
