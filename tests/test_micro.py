@@ -1,6 +1,7 @@
 """Hand-computed cases of each operator."""
 
 import math
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,20 @@ def test_every_positive_has_a_negative(spark):
     got = candidates.bpr_negatives(train, train, 42).collect()
     assert sorted((r.user_id, r.item_id) for r in got) == [x[:2] for x in rows if x[0] < 3]
     assert {r.negative for r in got if r.user_id == 1} == {29} and {r.negative for r in got if r.user_id == 2} == {27, 28, 29}
+
+
+@pytest.mark.parametrize("name", ["mf_grid", "bpr_grid", "mf_select", "bpr_select"])
+def test_registered_trainers_run_all_epochs(monkeypatch, name):
+    from affinis.plans import queries
+
+    class Asked(Exception):
+        pass
+
+    def asked(train, p, epochs=None):
+        raise Asked(epochs or p.epochs)
+
+    for trainer in ("mf_grid", "bpr_grid", "mf_monitor", "bpr_monitor"):
+        monkeypatch.setattr(trainers, trainer, asked)
+    monkeypatch.setattr(queries, "Workspace", lambda spark, sf_dir, **options: MagicMock(p=Params()))
+    with pytest.raises(Asked, match="20"):
+        queries.QUERIES[name](None, "")
