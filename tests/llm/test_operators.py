@@ -313,8 +313,10 @@ def plain_lines(data, edits=1, least=24):
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if not x or at[x] == (i, n)) for i, t in data}
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup(spark, none, edits):
+@pytest.mark.parametrize(("edits", "small"), [(1, 16), (2, 16), (1, 1)])
+def test_line_dedup(spark, none, monkeypatch, edits, small):
+    """With groups divided if they have more than one line, too."""
+    monkeypatch.setattr(linededup, "SMALL", small)
     pick = random.Random(edits)
     base = ["".join(pick.choice("abé d") for _ in range(pick.randint(22, 32))) for _ in range(12)]
     data = []
@@ -336,6 +338,49 @@ def test_line_dedup(spark, none, edits):
     assert linededup.drop_repeated_lines(none).count() == 0
 
 
+def test_a_hot_group_makes_few_pairs(spark, monkeypatch):
+    """5,000 lines with one first half: half of them a counter's, each within an edit of others, half without a near one but for 40 copies."""
+    pick = random.Random(1)
+    head = "".join(pick.choice("abcdefgh ") for _ in range(32))
+    words = ["".join(pick.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(2460)]
+    near = [x[:9] + "Z" + x[9 + k % 2 :] for k, x in enumerate(words[:40])]
+    tails = [f"counted {k:04d} of all these things" for k in range(2500)] + words + near
+    made = []
+
+    def counted(met, most, pairs=linededup._pairs):
+        made.append(pairs(met, most).count())
+        return pairs(met, most)
+
+    monkeypatch.setattr(linededup, "_pairs", counted)
+    df = spark.createDataFrame([(i, head + t) for i, t in enumerate(tails)], "doc_id long, text string")
+    got = {r.doc.doc_id: r.n_gone for r in linededup.drop_repeated_lines(df, ["doc_id"]).collect()}
+    assert sorted(i for i, n in got.items() if not n) == [0, *range(2500, 4960)]
+    assert sum(made) <= 5000 * linededup.SMALL
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_bit_vectors_give_the_edit_distance(spark, edits):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    pick, data = random.Random(edits), []
+    for _ in range(1500):
+        x = [pick.choice("ab\U0001f600é") for _ in range(pick.randint(0, 14))]
+        y = list(x)
+        for _ in range(pick.randint(0, 4)):
+            k = pick.randrange(len(y) + 1)
+            y[k : k + pick.randint(0, 1)] = pick.choice(["", "a", "zz"])
+        data.append(("".join(x), "".join(y)))
+    got = spark.createDataFrame(data, "a string, b string").select("a", "b", linededup.within(F.col("a"), F.col("b"), edits).alias("near")).collect()
+    assert [r for r in got if r.near != (distance(r.a, r.b) <= edits)] == []
+
+
 def test_very_long_lines(spark):
     line = prose("en", 12_000, 3)
     data = [(1, line), (2, line[:30_000] + "Q" + line[30_000:]), (3, line[:40_000] + "QQQ" + line[40_003:])]
