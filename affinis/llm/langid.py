@@ -78,9 +78,8 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         for at in range(0, len(text), PIECE):
             part = _codes(text[at : at + PIECE + 2])
             n = min(PIECE, len(text) - at)
-            if len(part) < n + 2:
-                part = np.concatenate([part[:n], gap])
-            # the two places after each part are no starts of their own: they hold spaces or the next part's first letters
+            # the two places after each part are no starts of their own: they hold the next part's first letters, or spaces
+            part = np.concatenate([part, gap[: n + 2 - len(part)]])
             codes.append(part)
             sizes.append(n)
             owner.append(i)
