@@ -7,7 +7,7 @@ mapped to probabilities by a sigmoid that is fitted on documents kept aside.
 Defined results: null and empty texts have no n-grams and get the score of the bias; a document with several
 labels has the largest; unlabelled training (no labels, or one class) gives the share of label 1 to all, 0.5
 without labels; n-grams of fewer than MIN_DOCS documents count for nothing; a text's words are found in
-pieces, so memory is a few numbers for each word; repeated rows are scored alike; an empty table gives an
+pieces, whose size changes no result, so memory is a few numbers for each word; repeated rows are scored alike; an empty table gives an
 empty result.
 """
 
@@ -48,32 +48,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, shape) of each word."""
-    hashes, shapes = [], []
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + PIECE)
-        if end < len(data):  # cut after white space, if there is any
-            cuts = [data.rfind(c, at, end) for c in (b" ", b"\n", b"\t")]
-            end = max(cuts) + 1 if max(cuts) > at else end
-        raw = np.frombuffer(data, np.uint8, end - at, at)
-        at = end
+    """(hash, shape) of each word. A word's terms are added up, so one that goes on in the next piece is the same word."""
+    sums, kinds = [np.zeros(0, np.uint64)], [np.zeros((0, 3), np.uint64)]
+    held, length = False, 0  # whether the last word may go on, and its bytes so far
+    for at in range(0, len(data), PIECE):
+        raw = np.frombuffer(data, np.uint8, min(PIECE, len(data) - at), at)
         inside = ~_SPACE[raw]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         start, stop = edge[::2], edge[1::2]
-        if not len(start):
-            continue
-        keep = np.flatnonzero(inside)
-        size = stop - start
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(len(keep)) - np.repeat(first, size)
-        terms = (_LOW[raw[keep]] + np.uint64(7)) * _PLACE[place & 63]
-        hashes.append(_mix(np.add.reduceat(terms, first)))
-        second = np.where(size > 1, _KIND[raw[np.minimum(start + 1, len(raw) - 1)]], np.uint64(0))
-        shapes.append((_KIND[raw[start]] << np.uint64(16)) | (second << np.uint64(8)) | _KIND[raw[stop - 1]])
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(hashes), np.concatenate(shapes)
+        goes_on = held and bool(inside[0])
+        if len(start):
+            keep = np.flatnonzero(inside)
+            size = stop - start
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            place = np.arange(len(keep)) - np.repeat(first, size)
+            if goes_on:
+                place[: size[0]] += length
+            found = np.add.reduceat((_LOW[raw[keep]] + np.uint64(7)) * _PLACE[place & 63], first)
+            second = np.where(size > 1, _KIND[raw[np.minimum(start + 1, len(raw) - 1)]], np.uint64(0))
+            kind = np.stack([_KIND[raw[start]], second, _KIND[raw[stop - 1]]], 1)
+            if goes_on:
+                sums[-1][-1:] += found[:1]
+                kinds[-1][-1, 2] = kind[0, 2]
+                if length == 1:
+                    kinds[-1][-1, 1] = kind[0, 0]
+                found, kind = found[1:], kind[1:]
+            length = int(size[-1]) + (length if goes_on and len(size) == 1 else 0)
+            if len(found):
+                sums.append(found)
+                kinds.append(kind)
+        held = bool(inside[-1])
+    kind = np.concatenate(kinds)
+    return _mix(np.concatenate(sums)), (kind[:, 0] << np.uint64(16)) | (kind[:, 1] << np.uint64(8)) | kind[:, 2]
 
 
 def features(text: str | None, stamp: np.ndarray) -> np.ndarray:
@@ -169,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
     """From the labelled documents that are not held out. At most about ``max_docs`` documents' features reach the driver."""
     spark = docs.sparkSession
     ready_workers(spark)
-    known = labels.where(~held_out() & F.col(f"`{label}`").isin(0, 1)).groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
+    known = labels.where(~held_out() & F.col(f"`{label}`").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
     n = known.count()
     drawn = known.where(unit_hash(F.col("key"), seed=10) < min(1.0, max_docs / max(1, n)))
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("key")).select("key", "y", "text")
@@ -181,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), found], ["key", "y", "found"])
 
     got = chosen.mapInArrow(run, "key long, y int, found array<int>").toArrow().sort_by("key")
-    rows = [np.asarray(x, np.int32) for x in got.column("found").to_pylist()]
+    found = got.column("found").combine_chunks()
+    ends, values = found.offsets.to_numpy(), found.values.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
     return fit(rows, got.column("y").to_numpy().astype(np.int64))
 
 

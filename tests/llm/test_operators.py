@@ -442,13 +442,47 @@ def test_language(docs, none):
     assert langid.identify(none).count() == 0
 
 
-def test_language_pieces_change_nothing(monkeypatch):
-    texts = [prose("en", 200, 1), prose("fr", 300, 2), "", None]
+@pytest.mark.parametrize("piece", [7, 50, 101])
+def test_language_pieces_change_nothing(monkeypatch, piece):
+    texts = [prose("en", 200, 1), prose("fr", 300, 2), "", None] + [prose("en", 80, 5)[: k * piece + by] for k in (1, 2) for by in range(-1, 4)]
     model = (["en", "fr"], np.random.default_rng(0).standard_normal((2, 1 << langid.BITS)).astype(np.float32), np.zeros(2))
     names, share = langid.score(texts, *model)
-    monkeypatch.setattr(langid, "PIECE", 101)
+    monkeypatch.setattr(langid, "PIECE", piece)
     again, same = langid.score(texts, *model)
-    assert names == again and np.allclose(share, same)
+    assert names == again and np.allclose(share, same, rtol=1e-12, atol=0)
+
+
+def test_language_scores_are_those_of_a_plain_model(spark):
+    """Each text's n-grams one by one: smoothed counts of the learned documents, tempered, against the share that the operator gives."""
+    data = [(i, prose("en" if i % 3 else "fr", 5 + i % 40, i).replace("the", "The2") + (" É" if i % 7 == 0 else ""), "en" if i % 3 else "fr") for i in range(200)]
+    data += [(300, "x", "en"), (301, "1 2", "fr"), (302, None, "fr"), (303, "the le", None)]
+    got = {r.doc.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+
+    def grams(text):
+        codes = [ord(c.lower()) if c.isalpha() else 32 for c in text or ""] + [32, 32]
+        for at in range(len(codes) - 2):
+            h = 0
+            for k in range(3):
+                h = (h + codes[at + k] + k + 1) * 0x9E3779B1 % (1 << 32)
+                h ^= h >> 15
+                if any(c != 32 for c in codes[at : at + k + 1]):
+                    yield (h * 0x85EBCA77 % (1 << 32)) >> (32 - langid.BITS)
+
+    learned = [(t, lang) for i, t, lang in data if lang and t is not None and zlib.crc32(str(i).encode()) % 5]
+    counts = {x: Counter(g for t, lang in learned if lang == x for g in grams(t)) for x in ("en", "fr")}
+    prior = {x: sum(lang == x for _, lang in learned) for x in counts}
+    for i, text, _ in data:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        own = list(grams(text))
+        value = {}
+        for x, c in counts.items():
+            total = sum(c.values()) + langid.SMOOTHING * (1 << langid.BITS)
+            mean = sum(np.log((c[g] + langid.SMOOTHING) / total) for g in own) / len(own)
+            value[x] = mean * min(len(own), langid.EVIDENCE) + np.log(prior[x] / sum(prior.values()))
+        best = max(value, key=value.get)
+        assert got[i][0] == best and got[i][1] == pytest.approx(1 / sum(np.exp(v - value[best]) for v in value.values()), abs=1e-4)
 
 
 # 9
@@ -507,6 +541,21 @@ def test_quality(spark, docs, none):
     assert quality.assess(docs, marks).count() == len(rows())
 
 
+@pytest.mark.parametrize("piece", [1, 5, 64, 1000])
+def test_quality_pieces_change_nothing(monkeypatch, piece):
+    """Also for words above a piece, and for each kind of white space."""
+    pick = random.Random(piece)
+    texts = [pick.choice(" \r\v\f\t\n").join(w + "Ab9é$" * pick.choice([0, 0, 1, 300]) for w in prose("en", 60, k).split()) for k in range(8)] + [" ", "a", "ab ", " Ab", "x" * 3000]
+    stamp = np.zeros(1 << quality.BITS, np.int32)
+    whole = [quality._words(t.encode()) for t in texts]
+    found = [set(quality.features(t, stamp).tolist()) for t in texts]
+    assert [len(h) for h, _ in whole] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    monkeypatch.setattr(quality, "PIECE", piece)
+    for t, (h, shape), f in zip(texts, whole, found):
+        again, kinds = quality._words(t.encode())
+        assert np.array_equal(h, again) and np.array_equal(shape, kinds) and set(quality.features(t, stamp).tolist()) == f
+
+
 def test_all_ten_are_registered():
     assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11))
 
