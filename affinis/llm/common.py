@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that goes to a worker, if one text has not more.
+BATCH_BYTES = 1 << 26
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,9 +61,11 @@ def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
                 out.write(file, file.relative_to(package.parent))
         context.addPyFile(path)  # the driver's file server hands it to the executors
         context._affinis_sent = True
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, str(1 << 30))
+        if not now.isdigit() or int(now) > most:  # smaller batches of the caller's stay
+            spark.conf.set(key, str(most))
 
 
 def full_text(column: str | Column = "text") -> Column:
