@@ -6,7 +6,8 @@ same shape, however far back. Loopy belief propagation gives each token's label;
 theirs, and other tokens with a label add spans.
 
 The field is fitted piecewise from counts over all documents: a softmax of token features on the labels that
-the base spans give, and pair potentials from how labels of neighbours and of repeated tokens agree.
+the base spans give, and pair potentials from how much more often than by chance two labels meet at neighbours, at
+repeated tokens and at tokens of one shape.
 
 Defined results: a null text is an empty one and has no spans; positions count code points; spans that the
 field adds never overlap base spans; repeated rows have equal spans; the work on a very long text is in
@@ -31,8 +32,11 @@ from affinis.llm.common import ready_workers
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is none; KINDS follow.
 LABELS = len(KINDS) + 1
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Of an email address, what may stand before the @ (looked for backwards from there) and what must follow it.
+MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Numbers joined by single dots, of which each four in order are an ip.
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEEN = re.compile(r"[0-9@]")
@@ -40,6 +44,8 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rounds of message passing at most, the weight of old messages, and the least belief that adds a span.
 ROUNDS, DAMPING, BELIEF = 30, 0.3, 0.6
 STEPS, RATE, DECAY = 800, 1.0, 1e-4
+#: Pair potentials are fitted as if so many pairs of independent labels had been seen too, and are no stronger than PULL.
+PRIOR, PULL = 20.0, 4.0
 Span = tuple[int, int, int]
 
 
@@ -56,13 +62,30 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end), by kind and start."""
     out: list[Span] = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in MAILBOX:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((0, start, m.end()))
+            done = m.end()
+        else:
+            done = at + 1
+        at = text.find("@", done)
     if not re.search("[0-9]", text):
         return out
-    for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in m.group().split(".")):
-            out.append((1, m.start(), m.end()))
+    for m in DOTTED.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        parts, start = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in four):
+                out.append((1, start, end))
+            start = end + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -75,7 +98,8 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_OUTER = re.compile(r"^[^0-9A-Za-z+(@]+|[^0-9A-Za-z)@]+$")
+_ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_FIRST, _LAST = _ALNUM | set("+(@"), _ALNUM | set(")@")
 _SHAPES = [
     re.compile(x + r"\Z")
     for x in (
@@ -113,14 +137,16 @@ class Tokens:
             while start > 0 and text[start - 1] not in " \t\n\v\f\r":
                 start -= 1
             end = TOKEN.match(text, p).end()
-            raw = text[start:end]
-            core = _OUTER.sub("", raw)
-            lead = raw.find(core)
+            first, behind = start, end
+            while first < behind and text[first] not in _FIRST:
+                first += 1
+            while behind > first and text[behind - 1] not in _LAST:
+                behind -= 1
             between = text[last:start] if last >= 0 else "x"
             self.next_to.append(last >= 0 and len(between) < 8 and not between.strip())
-            self.start.append(start + lead)
-            self.end.append(start + lead + len(core))
-            self.core.append(core)
+            self.start.append(first)
+            self.end.append(behind)
+            self.core.append(text[first:behind])
             last = at = end
 
     def features(self) -> np.ndarray:
@@ -171,7 +197,9 @@ def known_labels(tokens: Tokens, spans: list[Span]) -> np.ndarray:
 
 
 class Field:
-    def __init__(self, weights: np.ndarray, step: np.ndarray, same: float, like: float) -> None:
+    """Weights of token features by label, and potentials (label by label) of neighbours, equal tokens and tokens of one shape."""
+
+    def __init__(self, weights: np.ndarray, step: np.ndarray, same: np.ndarray, like: np.ndarray) -> None:
         self.weights, self.step, self.same, self.like = weights, step, same, like
 
     def beliefs(self, tokens: Tokens, known: np.ndarray) -> np.ndarray:
@@ -187,8 +215,7 @@ class Field:
         if not len(edges):
             return local / local.sum(1, keepdims=True)
         kinds = np.repeat([0, 1, 2], [len(chain), len(same), len(like)])
-        tables = np.stack([np.exp(self.step), np.exp(self.same * np.eye(LABELS)), np.exp(self.like * np.eye(LABELS))])
-        forward = tables[kinds]
+        forward = np.exp(np.stack([self.step, self.same, self.like]))[kinds]
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
         potential = np.concatenate([forward, forward.transpose(0, 2, 1)])
@@ -267,17 +294,24 @@ def fit(rows: list[tuple[str, str, int, int]]) -> Field:
             p /= p.sum(1, keepdims=True)
             momentum = 0.9 * momentum + x.T @ (share * (target - p)) - DECAY * weights
             weights = weights + RATE * momentum
-    pair = np.full((LABELS, LABELS), 1.0)
-    agree = {"s": [1.0, 1.0], "m": [1.0, 1.0]}
+    seen = {what: np.zeros((LABELS, LABELS)) for what in "tsm"}
+    share = np.full(LABELS, 0.5)
     for what, x, y, n in rows:
-        if what == "t":
-            pair[int(x), y] += n
-        elif what in agree:
-            agree[what][int(int(x) == y)] += n
-    pair /= pair.sum()
-    step = np.clip(np.log(pair / np.outer(pair.sum(1), pair.sum(0))), -3, 3)
-    same, like = (float(np.clip(np.log(yes / no), 0, most)) for (no, yes), most in ((agree["s"], 3.0), (agree["m"], 1.0)))
-    return Field(weights, step, same, like)
+        if what in seen:
+            seen[what][int(x), y] += n
+        else:
+            share[y] += n
+    return Field(weights, *(affinity(seen[what], share / share.sum()) for what in "tsm"))
+
+
+def affinity(seen: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How much likelier a label is beside another than by itself, as a logarithm (the mean of both directions); near 0 where little was seen.
+
+    ``share``: of each label among all tokens.
+    """
+    joint = (seen + PRIOR * np.outer(share, share)) / (seen.sum() + PRIOR)
+    alone = np.outer(np.sqrt(joint.sum(1) * share), np.sqrt(joint.sum(0) * share))
+    return np.clip(np.log(joint / alone), -PULL, PULL)
 
 
 def train(docs: DataFrame) -> Field:
