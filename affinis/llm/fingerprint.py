@@ -4,7 +4,8 @@ A term is a word with the word after it, weighted by the length of both. Its has
 or against each of 64 bits. Votes are summed by partial aggregation: three counters of 21 bits share a long,
 so that a term costs 23 additions, and parts of at most CHUNK terms are unpacked before they are added up.
 All fingerprints within a Hamming radius are found by tables of permuted blocks: of RADIUS + SPARE blocks some
-SPARE must be equal, for every choice of which.
+SPARE must be equal, for every choice of which. ``compare_with_next`` looks up each edited text's fingerprint in the
+tables of all documents' fingerprints.
 
 Defined results: a null text is an empty one, without terms and with the fingerprint zero; equal texts have
 equal fingerprints; documents follow each other by descending id, null ids last, rows of one id by a hash of
@@ -19,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import full_text
+from affinis.llm.common import cut_table, full_text
 from affinis.llm.sharding import lookup, range_of
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -108,15 +109,24 @@ def edited(text: Column, after: Column) -> Column:
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next)."""
+    """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next, n_found).
+
+    ``n_found``: of how many different fingerprints of documents the edited text's is within RADIUS bits, by the block tables.
+    """
     rows = in_order(docs).withColumn("edited", edited(F.col("text"), F.coalesce("next", F.lit(""))))
-    told = rows.select("bucket", "nth", "visitor", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    both = rows.select("bucket", "nth", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    fps = vote(both, ["bucket", "nth", "which"]).groupBy("bucket", "nth").agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
-    joined = told.join(fps, ["bucket", "nth"])
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    versions = F.array(F.struct(F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.col("edited").alias("text"), digest.alias("sha")))
+    of_doc = ["bucket", "nth", "visitor", "doc_id", "n_chars"]
+    both = rows.select("bucket", "nth", "visitor", "doc_id", F.length("text").cast("long").alias("n_chars"), F.posexplode(versions).alias("which", "x"))
+    both = both.select(*of_doc, "which", "x.sha", "x.text")
+    fps = vote(both, [*of_doc, "which", "sha"]).groupBy(*of_doc)
+    fps = fps.agg(F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
     following = F.lead("fp").over(Window.partitionBy("bucket").orderBy("nth"))
-    out = joined.withColumn("next_fp", following).where(~F.col("visitor"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    out = cut_table(fps.withColumn("next_fp", following).where(~F.col("visitor")).drop("bucket", "nth", "visitor"))
+    found = found_within(out.select(F.col("edited_fp").alias("fp")), out.select("fp"))
+    out = out.join(found.withColumnRenamed("fp", "of"), F.col("edited_fp") == F.col("of"), "left")
+    told = [likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next")]
+    return out.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", *told, F.coalesce("n", F.lit(0)).alias("n_found"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -125,6 +135,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return vote(rows, ["doc_id"])
 
 
+def _masks(radius: int, spare: int) -> list[int]:
+    """The bits of each choice of ``spare`` of radius + spare blocks, signed."""
+    blocks = radius + spare
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks)]
+    keys = [sum(masks[k] for k in chosen) for chosen in combinations(range(blocks), spare)]
+    return [m - (1 << 64) if m >> 63 else m for m in keys]
+
+
+def _tables(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, t, key): each different fingerprint in each table."""
+    return prints.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
+
+
+def _met(a: Column, b: Column, table: Column, radius: int, masks: list[int]) -> Column:
+    """Whether two fingerprints are within the radius and this is the first table in which they meet."""
+    differ = a.bitwiseXOR(b)
+    first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(m).cast("long")) == 0 for m in masks]), True) - 1
+    return (F.bit_count(differ) <= radius) & (table == first)
+
+
+def found_within(asked: DataFrame, prints: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """(fp, n): of each different fingerprint asked for how many different ones of ``prints`` are within the radius."""
+    masks = _masks(radius, spare)
+    a, b = _tables(asked, masks).withColumnRenamed("fp", "a"), _tables(prints, masks).withColumnRenamed("fp", "b")
+    met = a.join(b, ["t", "key"]).where(_met(F.col("a"), F.col("b"), F.col("t"), radius, masks))
+    return met.groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n"))
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
     """(a, b, distance): pairs a < b of different fingerprints within the radius, each once. ``prints`` has the column fp.
 
@@ -132,16 +171,8 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> D
     each choice of ``spare`` blocks; a pair is taken in the first table that has it. More spare blocks make longer
     keys, and so smaller groups.
     """
-    blocks = radius + spare
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks)]
-    keys = [sum(masks[k] for k in chosen) for chosen in combinations(range(blocks), spare)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in keys]
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "key")
-    one = prints.select("fp").distinct().select("fp", tables)
-    a, b = one.select("t", "key", F.col("fp").alias("a")), one.select("t", "key", F.col("fp").alias("b"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = a.join(b, ["t", "key"]).where((F.col("a") < F.col("b")) & (apart <= radius))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(m).cast("long")) == 0 for m in signed]), True) - 1
-    return pairs.where(F.col("t") == first).select("a", "b", apart.alias("distance"))
+    masks = _masks(radius, spare)
+    one = _tables(prints, masks)
+    a, b = one.withColumnRenamed("fp", "a"), one.withColumnRenamed("fp", "b")
+    pairs = a.join(b, ["t", "key"]).where((F.col("a") < F.col("b")) & _met(F.col("a"), F.col("b"), F.col("t"), radius, masks))
+    return pairs.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))

@@ -93,7 +93,7 @@ FROM kept GROUP BY doc_id"""
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", "edited_sha256", fingerprint.written(F.col("fp")).alias("fingerprint"), fingerprint.written(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", fingerprint.written(F.col("fp")).alias("fingerprint"), fingerprint.written(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "n_found")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,7 +403,9 @@ def test_fingerprints_of_edits(spark, docs, none, monkeypatch):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         assert r.near_next == 1 - ((r.fp ^ following.fp) % (1 << 64)).bit_count() / 64
         assert r.near_edited == 1 - ((r.fp ^ r.edited_fp) % (1 << 64)).bit_count() / 64
+        assert r.n_found == len({x.fp for x in got.values() if ((x.fp ^ r.edited_fp) % (1 << 64)).bit_count() <= 3})
     assert got[5].fp == got[105].fp and got[100].fp == got[101].fp == 0
+    assert {r.n_found for r in got.values()} > {0}
     one = fingerprint.compare_with_next(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1.0
     assert fingerprint.compare_with_next(none).count() == 0
