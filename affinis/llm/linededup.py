@@ -31,6 +31,8 @@ from affinis.llm.components import connected_components
 EDITS, MIN_CHARS = 1, 24
 #: Lines that share a hash are compared in pairs if they are so many at most.
 SMALL = 16
+#: Before the edit distance of a pair, so many pieces of its lines are compared.
+PIECES = 8
 #: Up to so many candidate lines (some 10 MB of hashes) are broadcast to find their texts; beyond, they are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -147,6 +149,18 @@ def candidates(known: DataFrame, text: Callable[[DataFrame], DataFrame], edits:
     return cut_table(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts
 
 
+def pieces_agree(a: Column, b: Column, edits: int) -> Column:
+    """True of all lines within ``edits`` edits, and of few others: of PIECES pieces of one all but so many stand in the other, about where they were."""
+    parts = max(PIECES, edits + 1)
+    same = F.lit(0)
+    for i in range(1, parts + 1):
+        at, size = _segment(F.length(a), i, parts - 1)
+        piece = F.substring(a, at, size)
+        found = [F.substring(b, at + by, size) == piece for by in range(-edits, edits + 1)]
+        same = same + reduce(Column.__or__, found).cast("int")
+    return same >= parts - edits
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two lines are within ``edits`` edits: bit vectors of the differences along a column, in a band of 2 * edits + 1 rows.
 
@@ -193,7 +207,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
     both = F.struct(F.split(F.when(swapped, b).otherwise(a), "").alias("a"), F.split(F.when(swapped, a).otherwise(b), "").alias("b"))
     some = (F.length(a) > 0) & (F.length(b) > 0)
     told = F.get(F.transform(F.array(both), distance), F.lit(0)) <= edits
-    return F.when(~near, False).when(~some, True).otherwise(told)
+    return F.when(~near, False).when(~some, True).when(~pieces_agree(a, b, edits), False).otherwise(told)
 
 
 def links(docs: DataFrame, known: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
