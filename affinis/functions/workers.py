@@ -24,3 +24,9 @@ def send_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(path)  # the driver's file server hands it to the executors
     context._affinis_sent = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one beside the warehouse where that is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")

@@ -29,13 +29,14 @@ def ranking_users(heldout: DataFrame, train: DataFrame, known: DataFrame, releva
     return viable.orderBy(*order).limit(users).select("user_id", F.col("item_id").alias("positive"))
 
 
-def unobserved(users: DataFrame, train: DataFrame, known: DataFrame) -> DataFrame:
+def unobserved(users: DataFrame, train: DataFrame, known: DataFrame, few: bool = False) -> DataFrame:
     """(user_id, item_id): the catalogue without what each of the given users knows.
 
-    ``users`` are a bounded number, the ranking users; each of them meets the catalogue once.
+    Each of the users meets the whole catalogue. They are broadcast if the caller knows that they are ``few``; else Spark
+    broadcasts what its own threshold allows.
     """
-    catalog = train.select("item_id").distinct()
-    return catalog.crossJoin(F.broadcast(users.select("user_id"))).join(known, ["user_id", "item_id"], "left_anti").select("user_id", "item_id")
+    catalog, asked = train.select("item_id").distinct(), users.select("user_id")
+    return catalog.crossJoin(F.broadcast(asked) if few else asked).join(known, ["user_id", "item_id"], "left_anti").select("user_id", "item_id")
 
 
 def negatives(free: DataFrame, n: int, seed: int) -> DataFrame:
@@ -55,7 +56,7 @@ def build(heldout: DataFrame, train: DataFrame, known: DataFrame, relevance: flo
     if users <= 0 or n < 2:
         raise ValueError("users must be positive, and there must be two candidates at least")
     chosen = ranking_users(heldout, train, known, relevance, users, n, seed)
-    return candidates(chosen, negatives(unobserved(chosen, train, known), n - 1, seed), seed)
+    return candidates(chosen, negatives(unobserved(chosen, train, known, few=True), n - 1, seed), seed)
 
 
 def bpr_negatives(positives: DataFrame, train: DataFrame, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.functions.columns import safe_div, steady
+from affinis.functions.columns import dot, safe_div, steady
 from affinis.operators.prepare import centered
 
 EPS = 2.220446049250313e-16
@@ -72,6 +72,24 @@ def likeness(pairs: DataFrame, profile: DataFrame, features: DataFrame) -> DataF
     return joined.select("user_id", "item_id", steady(F.coalesce("s", F.lit(0.0))).alias("cosine"))
 
 
+def unit(vector: Column) -> Column:
+    """An array of length 1, or of zeros."""
+    norm = F.sqrt(dot(vector, vector))
+    return F.transform(vector, lambda x: safe_div(x, norm))
+
+
+def packed(profile: DataFrame) -> DataFrame:
+    """(user_id, profile array) of a profile on features numbered from 0, all of which each user has."""
+    pairs = F.array_sort(F.collect_list(F.struct("feature", "w")))
+    return profile.groupBy("user_id").agg(F.transform(pairs, lambda x: x["w"]).alias("profile"))
+
+
+def dense_likeness(pairs: DataFrame, profile: DataFrame, vectors: DataFrame) -> DataFrame:
+    """As ``likeness``, of packed profiles and whole vectors (item_id, vector): a row for each pair, not for each component."""
+    rows = pairs.select("user_id", "item_id").join(vectors.select("item_id", unit(F.col("vector")).alias("v")), "item_id", "left").join(profile, "user_id", "left")
+    return rows.select("user_id", "item_id", steady(F.coalesce(dot(F.col("profile"), F.col("v")), F.lit(0.0))).alias("cosine"))
+
+
 def scale(scored: DataFrame) -> DataFrame:
     """(beta): the nonnegative factor of least squares for rating - mean on cosine. ``scored`` has rating, mean, cosine."""
     gain = F.sum(F.col("cosine") * (F.col("rating") - F.col("mean")))

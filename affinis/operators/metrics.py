@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.functions.columns import clip, discount, shown
+from affinis.functions.columns import clip, discount, finite, shown
 
 
 def rating_metrics(rows: DataFrame, low: float, high: float, *by: str) -> DataFrame:
@@ -22,6 +22,7 @@ def rating_metrics(rows: DataFrame, low: float, high: float, *by: str) -> DataFr
         shown(F.avg(bounded)).alias("bounded_bias"),
         F.coalesce(F.sum(outside), F.lit(0.0)).cast("long").alias("n_out_of_range"),
         shown(F.avg(outside) * 100).alias("out_of_range_pct"),
+        F.count_if(~finite(F.col("prediction"))).alias("n_non_finite"),
         F.count("*").alias("n_total"),
     )
     return sums

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.operators.prepare import centered
-from affinis.operators.similarity import strongest
+from affinis.operators.similarity import blocks_of, dealt, strongest
 
 
 def user_knn_neighbors(pairs: DataFrame, train: DataFrame, similarity: DataFrame, k: int) -> DataFrame:
     """(user_id, item_id, nbr_id, sim, residual): of an item's raters the k most similar to the user."""
-    raters = centered(train).select("item_id", F.col("user_id").alias("nbr_id"), "residual")
-    met = pairs.select("user_id", "item_id").distinct().join(raters, "item_id").join(similarity.select("user_id", "nbr_id", "sim"), ["user_id", "nbr_id"])
+    raters, hot = centered(train).select("item_id", F.col("user_id").alias("nbr_id"), "residual"), blocks_of(train, "item_id")
+    asked = dealt(pairs.select("user_id", "item_id").distinct(), "item_id", hot, "i", "j", "user_id")
+    met = asked.join(dealt(raters, "item_id", hot, "j", "i", "nbr_id"), ["item_id", "i", "j"]).drop("i", "j").join(similarity.select("user_id", "nbr_id", "sim"), ["user_id", "nbr_id"])
     return strongest(met, ["user_id", "item_id"], "nbr_id", k).select("user_id", "item_id", "nbr_id", "sim", "residual")
 
 

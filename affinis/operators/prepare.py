@@ -27,14 +27,15 @@ def chronological_split(ratings: DataFrame) -> DataFrame:
     return ratings.withColumn("split", F.when(nth == 1, "test").when(nth == 2, "validation").otherwise("train"))
 
 
-def dense_ids(ids: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
+def dense_ids(ids: DataFrame, column: str, buckets: int = 256) -> DataFrame:
     """(column, dense_id): places of the distinct ids in order, from 0, without sorting all in one task.
 
-    Ids are cut into ranges of equal width; a place is the count of all ranges before, plus that within.
+    Ids are cut into ranges at their quantiles, so wherever they lie no range has many more than another; a place is the
+    count of all ranges before, plus that within.
     """
-    distinct = ids.select(column).distinct()
-    ends = distinct.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    bucket = F.floor((F.col(column) - F.col("lo")) * F.lit(float(buckets)) / (F.col("hi") - F.col("lo") + 1)).cast("int")
+    distinct = ids.select(column).where(F.col(column).isNotNull()).distinct()
+    ends = distinct.agg(F.percentile_approx(column, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10_000)).alias("ends"))
+    bucket = F.size(F.filter("ends", lambda x: x < F.col(column)))
     placed = distinct.crossJoin(F.broadcast(ends)).select(column, bucket.alias("bucket"))
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # at most ``buckets`` rows

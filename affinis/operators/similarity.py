@@ -9,14 +9,34 @@ from affinis.functions.columns import steady
 from affinis.operators.prepare import centered
 
 
+#: Rows of one key that meet each other in one task; a key of more is cut into blocks of about so many.
+HOT_ROWS = 2000
+
+
+def blocks_of(rows: DataFrame, key: str) -> DataFrame:
+    """(key, blocks) of the keys with more than HOT_ROWS rows: at most a row for each HOT_ROWS rows."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    return counts.select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("blocks"))
+
+
+def dealt(rows: DataFrame, key: str, hot: DataFrame, own: str, other: str, by: str) -> DataFrame:
+    """Each row in its block ``own`` of its key, once for each block ``other`` of the rows that it is to meet."""
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn(own, F.pmod(F.xxhash64(by), blocks).cast("int"))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+
+
 def pair_stats(train: DataFrame, of: str, over: str, least: int) -> DataFrame:
     """(a, b, xy, xx, yy, n) for a < b: sums over what both share, at least ``least`` of it.
 
-    Each pair is met once. Sums are partial on the mappers, so a shuffle moves a row for each pair and mapper at most.
+    Sums are partial on the mappers, so a shuffle moves a row for each pair and mapper at most. A user or item with
+    very many ratings is cut into blocks, and each pair of blocks is met by itself.
     """
     rows = centered(train).select(F.col(of).alias("id"), F.col(over).alias("on"), F.col("residual").alias("x"))
-    a, b = rows.select(F.col("id").alias("a"), "on", F.col("x").alias("x")), rows.select(F.col("id").alias("b"), "on", F.col("x").alias("y"))
-    met = a.join(b, "on").where(F.col("a") < F.col("b"))
+    hot = blocks_of(train.select(F.col(over).alias("on")), "on")
+    a = dealt(rows.select(F.col("id").alias("a"), "on", F.col("x").alias("x")), "on", hot, "i", "j", "a")
+    b = dealt(rows.select(F.col("id").alias("b"), "on", F.col("x").alias("y")), "on", hot, "j", "i", "b")
+    met = a.join(b, ["on", "i", "j"]).where(F.col("a") < F.col("b"))
     x, y = F.col("x"), F.col("y")
     sums = met.groupBy("a", "b").agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.count("*").alias("n"))
     return sums.where(F.col("n") >= least)
@@ -50,8 +70,10 @@ def user_similarity(train: DataFrame, least: int, shrinkage: float) -> DataFrame
 def user_similarity_to(train: DataFrame, users: DataFrame, least: int, shrinkage: float) -> DataFrame:
     """As ``user_similarity``, of the given users (user_id) alone: only their ratings meet the others'."""
     rows = centered(train).select("user_id", "item_id", "residual")
+    hot = blocks_of(train, "item_id")
     mine = rows.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id", F.col("residual").alias("x"))
-    met = mine.join(rows.select(F.col("user_id").alias("nbr_id"), "item_id", F.col("residual").alias("y")), "item_id").where("user_id <> nbr_id")
+    others = rows.select(F.col("user_id").alias("nbr_id"), "item_id", F.col("residual").alias("y"))
+    met = dealt(mine, "item_id", hot, "i", "j", "user_id").join(dealt(others, "item_id", hot, "j", "i", "nbr_id"), ["item_id", "i", "j"]).where("user_id <> nbr_id")
     x, y = F.col("x"), F.col("y")
     sums = met.groupBy(F.col("user_id").alias("a"), F.col("nbr_id").alias("b")).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.count("*").alias("n")).where(F.col("n") >= least)
     edges = _shrunk(sums, F.sqrt("xx") * F.sqrt("yy"), shrinkage)

@@ -18,6 +18,7 @@ from affinis.functions.columns import dot, steady
 from affinis.functions.workers import send_package
 from affinis.operators.factors import mf_value
 from affinis.operators.metrics import positive_rank, ranking_metrics
+from affinis.operators.prepare import dense_ids
 from affinis.schema import Params
 
 MODEL = "reg double, side string, id long, bias double, factors array<double>, seen boolean"
@@ -139,9 +140,12 @@ def mf_als(train: DataFrame, p: Params, reg: float, damping: float = 5.0) -> Dat
     rows = rows.join(bi, "item_id").withColumn("r", F.col("r") - F.col("bi"))
     bu = rows.groupBy("user_id").agg((F.sum("r") / (F.count("*") + damping)).alias("bu"))
     rows = rows.join(bu, "user_id").withColumn("r", F.col("r") - F.col("bu"))
-    model = ALS(rank=p.factors, maxIter=p.epochs // 2, regParam=reg, userCol="user_id", itemCol="item_id", ratingCol="r", seed=p.seed, coldStartStrategy="nan").fit(rows.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "r"))
-    users = model.userFactors.select(F.col("id").cast("long").alias("user_id"), F.col("features").cast("array<double>").alias("factors")).join(bu, "user_id")
-    items = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.col("features").cast("array<double>").alias("factors")).join(bi, "item_id")
+    # the library takes ids of 32 bits: places stand for ids of any size
+    user_places, item_places = dense_ids(rows, "user_id").withColumnRenamed("dense_id", "u"), dense_ids(rows, "item_id").withColumnRenamed("dense_id", "i")
+    placed = rows.join(user_places, "user_id").join(item_places, "item_id").select("u", "i", "r")
+    model = ALS(rank=p.factors, maxIter=p.epochs // 2, regParam=reg, userCol="u", itemCol="i", ratingCol="r", seed=p.seed, coldStartStrategy="nan").fit(placed)
+    users, items = (f.select(F.col("id").alias(place), F.col("features").cast("array<double>").alias("factors")).join(ids, place).drop(place) for f, place, ids in ((model.userFactors, "u", user_places), (model.itemFactors, "i", item_places)))
+    users, items = users.join(bu, "user_id"), items.join(bi, "item_id")
     a = users.select(F.lit("users").alias("side"), F.col("user_id").alias("id"), F.col("bu").alias("bias"), "factors")
     b = items.select(F.lit("items").alias("side"), F.col("item_id").alias("id"), F.col("bi").alias("bias"), "factors")
     return a.unionByName(b)

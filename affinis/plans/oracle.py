@@ -19,7 +19,8 @@ def metrics(rows: str) -> str:
     out = f"CASE WHEN prediction < {P.low} OR prediction > {P.high} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
     return f"""SELECT {sh(f'sqrt(avg({e} * {e}))')} AS rmse, {sh(f'avg(abs({e}))')} AS mae, {sh(f'avg({e})')} AS bias,
   {sh(f'sqrt(avg({b} * {b}))')} AS bounded_rmse, {sh(f'avg(abs({b}))')} AS bounded_mae, {sh(f'avg({b})')} AS bounded_bias,
-  CAST(sum({out}) AS BIGINT) AS n_out_of_range, {sh(f'avg({out}) * 100')} AS out_of_range_pct, count(*) AS n_total FROM {rows}"""
+  CAST(sum({out}) AS BIGINT) AS n_out_of_range, {sh(f'avg({out}) * 100')} AS out_of_range_pct,
+  count(*) FILTER (WHERE prediction IS NULL OR NOT isfinite(prediction)) AS n_non_finite, count(*) AS n_total FROM {rows}"""
 
 
 def ranks(scored: str, by: str = "") -> str:
@@ -106,7 +107,7 @@ PARTS: dict[str, str] = {
     "t_affine": "SELECT slope, round(my - slope * mx, 9) AS intercept FROM t_affine1",
     "t_bprr": "SELECT user_id, item_id, round(slope * score + intercept, 9) AS prediction FROM t_bpr, t_affine",
     # ensembles
-    "t_comp": "SELECT user_id, item_id, c.prediction AS content, k.prediction AS knn, n_neighbors FROM t_content c JOIN t_uknn k USING (user_id, item_id)",
+    "t_comp": "SELECT user_id, item_id, c.prediction AS content, k.prediction AS knn, n_neighbors FROM t_tcontent c JOIN t_uknn k USING (user_id, item_id)",
     "t_grid": "SELECT k / 10.0::DOUBLE AS lam FROM range(11) r(k)",
     "t_asweep": "SELECT alpha, round(sqrt(avg((p - rating) * (p - rating))), 9) AS rmse FROM (SELECT lam AS alpha, rating, CASE WHEN n_neighbors > 0 THEN lam * content + (1 - lam) * knn ELSE content END AS p FROM t_val JOIN t_comp USING (user_id, item_id), t_grid) GROUP BY alpha",
     "t_alpha": "SELECT alpha, rmse FROM t_asweep ORDER BY rmse, alpha LIMIT 1",
@@ -130,12 +131,15 @@ PARTS: dict[str, str] = {
     "t_s_mf_bpr": "SELECT user_id, pos, item_id, is_positive, score FROM t_fused",
     "t_bpos": f"SELECT user_id, item_id FROM t_train WHERE rating >= {P.relevance}",
     "t_place": "SELECT item_id AS negative, row_number() OVER (ORDER BY item_id) - 1 AS place FROM t_cat",
-    "t_bneg": f"SELECT user_id, item_id, arg_min(negative, draw) AS negative FROM (SELECT user_id, item_id, draw, negative FROM (SELECT user_id, item_id, draw, CAST('0x' || substr(md5(concat_ws('|', '{P.seed}', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR), CAST(draw AS VARCHAR))), 1, 12) AS BIGINT) % (SELECT count(*) FROM t_cat) AS place FROM t_bpos, range(8) r(draw)) JOIN t_place USING (place) ANTI JOIN (SELECT user_id, item_id AS negative FROM t_train) USING (user_id, negative)) GROUP BY ALL",
+    "t_bdrawn": f"SELECT user_id, item_id, arg_min(negative, draw) AS negative FROM (SELECT user_id, item_id, draw, negative FROM (SELECT user_id, item_id, draw, CAST('0x' || substr(md5(concat_ws('|', '{P.seed}', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR), CAST(draw AS VARCHAR))), 1, 12) AS BIGINT) % (SELECT count(*) FROM t_cat) AS place FROM t_bpos, range(8) r(draw)) JOIN t_place USING (place) ANTI JOIN (SELECT user_id, item_id AS negative FROM t_train) USING (user_id, negative)) GROUP BY ALL",
+    "t_bleft": "SELECT DISTINCT user_id, item_id FROM t_bpos ANTI JOIN t_bdrawn USING (user_id, item_id)",
+    "t_bneg": f"SELECT user_id, item_id, negative FROM t_bdrawn UNION ALL SELECT l.user_id, l.item_id, arg_min(c.item_id, struct_pack(h := md5(concat_ws('|', '{P.seed}', CAST(l.user_id AS VARCHAR), CAST(l.item_id AS VARCHAR), 'f', CAST(c.item_id AS VARCHAR))), i := c.item_id)) AS negative FROM t_bleft l CROSS JOIN t_cat c ANTI JOIN t_train k ON k.user_id = l.user_id AND k.item_id = c.item_id GROUP BY ALL",
     "t_tri": "SELECT n.user_id, n.item_id, n.negative, round(round(list_dot_product(u.factors, i.factors), 9) - round(list_dot_product(u.factors, j.factors), 9), 9) AS margin FROM t_bneg n JOIN t_bpu u ON u.user_id = n.user_id JOIN t_bpi i ON i.item_id = n.item_id JOIN t_bpi j ON j.item_id = n.negative",
 }
 #: The candidates of the stages that the pairs above do not have: the same parts over the candidates instead.
 for kind, deps in {
     "content": ("t_cos", "t_content"),
+    "dense": ("t_tcos", "t_tcontent"),
     "uknn": ("t_unbr_all", "t_unbr", "t_uknn"),
     "iknn": ("t_inbr", "t_iknn"),
 }.items():
@@ -146,16 +150,18 @@ for kind, deps in {
         PARTS[f"{name}_c"] = text
 PARTS["t_cpairs"] = "SELECT DISTINCT user_id, item_id FROM t_cand"
 PARTS["t_s_genre_content"] = "SELECT c.*, prediction AS score FROM t_cand c JOIN t_content_c USING (user_id, item_id)"
+PARTS["t_s_genome_content"] = "SELECT c.*, prediction AS score FROM t_cand c JOIN t_tcontent_c USING (user_id, item_id)"
 PARTS["t_s_user_knn"] = "SELECT c.*, prediction AS score FROM t_cand c JOIN t_uknn_c USING (user_id, item_id)"
 PARTS["t_s_movie_knn"] = "SELECT c.*, prediction AS score FROM t_cand c JOIN t_iknn_c USING (user_id, item_id)"
-PARTS["t_s_hybrid"] = "SELECT c.*, round(alpha * t.prediction + (1 - alpha) * k.prediction, 9) AS score FROM t_cand c JOIN t_content_c t USING (user_id, item_id) JOIN t_uknn_c k USING (user_id, item_id), t_alpha"
-PARTS["t_s_hybrid_n"] = "SELECT c.*, round(CASE WHEN n_neighbors > 0 THEN alpha * t.prediction + (1 - alpha) * k.prediction ELSE t.prediction END, 9) AS score FROM t_cand c JOIN t_content_c t USING (user_id, item_id) JOIN t_uknn_c k USING (user_id, item_id), t_alpha"
-for stage in ("global_mean", "genre_content", "user_knn", "movie_knn", "mf", "bpr", "hybrid", "mf_bpr"):
+PARTS["t_s_hybrid"] = "SELECT c.*, round(alpha * t.prediction + (1 - alpha) * k.prediction, 9) AS score FROM t_cand c JOIN t_tcontent_c t USING (user_id, item_id) JOIN t_uknn_c k USING (user_id, item_id), t_alpha"
+PARTS["t_s_hybrid_n"] = "SELECT c.*, round(CASE WHEN n_neighbors > 0 THEN alpha * t.prediction + (1 - alpha) * k.prediction ELSE t.prediction END, 9) AS score FROM t_cand c JOIN t_tcontent_c t USING (user_id, item_id) JOIN t_uknn_c k USING (user_id, item_id), t_alpha"
+for stage in ("global_mean", "genre_content", "genome_content", "user_knn", "movie_knn", "mf", "bpr", "hybrid", "mf_bpr"):
     PARTS[f"t_r_{stage}"] = ranks(f"t_s_{stage}")
 #: Test predictions of each stage.
 PREDICTIONS = {
     "global_mean": "(SELECT t.*, mu AS prediction FROM t_test t, t_mu)",
     "genre_content": "(SELECT t.*, prediction FROM t_test t JOIN t_content USING (user_id, item_id))",
+    "genome_content": "(SELECT t.*, prediction FROM t_test t JOIN t_tcontent USING (user_id, item_id))",
     "user_knn": "(SELECT t.*, prediction FROM t_test t JOIN t_uknn USING (user_id, item_id))",
     "movie_knn": "(SELECT t.*, prediction FROM t_test t JOIN t_iknn USING (user_id, item_id))",
     "mf": "(SELECT t.*, prediction FROM t_test t JOIN t_mf USING (user_id, item_id))",

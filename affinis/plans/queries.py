@@ -12,7 +12,9 @@ from affinis.operators import candidates as C
 from affinis.operators import content, ensemble, factors, neighbors, prepare, similarity, trainers, validate
 from affinis.plans import oracle as O
 from affinis.plans import reports
+from affinis.plans import stages as S
 from affinis.plans.workspace import Workspace
+from affinis.schema import STAGES
 from affinis.sources import ratings as source
 from affinis.sources.artifacts import merge_results as merge
 from affinis.streaming import means as streaming
@@ -63,17 +65,6 @@ UNION ALL SELECT 'positions_with_gaps', count(*) FILTER (WHERE m + 1 <> n) FROM
 )
 
 
-def _data_quality(w: Workspace) -> DataFrame:
-    short = prepare.user_activity(w.splits).where(F.col("n") < w.p.min_history)
-    return validate.union(
-        validate.ratings(w.raw, w.p.low, w.p.high),
-        validate.number_of(validate.duplicate_pairs(w.splits), "pair_repeated"),
-        validate.number_of(short, "history_too_short"),
-        validate.number_of(content.missing(w.genre_features, w.splits), "features_missing"),
-        validate.number_of(w.items.groupBy("item_id").count().where("count > 1"), "item_repeated"),
-    )
-
-
 register(
     "data_quality",
     """SELECT unnest(['rating_not_finite', 'rating_out_of_range', 'user_id_negative', 'item_id_negative', 'ts_missing', 'no_ratings']) AS "check", 0::BIGINT AS violations
@@ -81,7 +72,7 @@ UNION ALL SELECT 'pair_repeated', count(*) FROM (SELECT 1 FROM t_split GROUP BY
 UNION ALL SELECT 'history_too_short', count(*) FROM (SELECT 1 FROM t_split GROUP BY user_id HAVING count(*) < 5)
 UNION ALL SELECT 'features_missing', count(*) FROM (SELECT DISTINCT item_id FROM t_split WHERE item_id NOT IN (SELECT item_id FROM t_feat))
 UNION ALL SELECT 'item_repeated', count(*) FROM (SELECT 1 FROM t_items GROUP BY item_id HAVING count(*) > 1)""",
-    _data_quality,
+    lambda w: w.quality(),
 )
 
 # features
@@ -115,14 +106,11 @@ register("mean_centered", f"SELECT user_id, item_id, {ROUND('residual')} AS resi
 register("known_items", "SELECT user_id, item_id FROM t_known", lambda w: w.known)
 register(
     "dataset_metadata",
-    f"""SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation,
-  count(*) FILTER (WHERE split = 'test') AS n_test, {ROUND("avg(rating) FILTER (WHERE split = 'train')")} AS global_mean, {O.P.min_history} AS min_history, {O.P.candidates} AS n_candidates, {O.P.test_seed} AS test_seed FROM t_split""",
-    lambda w: w.splits.agg(
-        F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users"), F.countDistinct("item_id").alias("n_items"),
-        *[F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s}") for s in ("train", "validation", "test")],
-        shown(F.avg(F.when(F.col("split") == "train", F.col("rating")))).alias("global_mean"),
-        F.lit(w.p.min_history).alias("min_history"), F.lit(w.p.candidates).alias("n_candidates"), F.lit(w.p.test_seed).alias("test_seed"),
-    ),
+    f"""SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, {ROUND("avg(rating) FILTER (WHERE split = 'train')")} AS global_mean, count(*) FILTER (WHERE split = 'train') AS n_train,
+  count(*) FILTER (WHERE split = 'validation') AS n_validation, count(*) FILTER (WHERE split = 'test') AS n_test, count(*) AS n_rows, {O.P.min_history} AS min_history, {O.P.min_history - 2} AS min_train, 'item' AS tie_break, false AS "catalog",
+  {O.P.relevance}::DOUBLE AS relevance, {O.P.item_neighbors} AS item_neighbors, {O.P.user_neighbors} AS user_neighbors, {O.P.min_common} AS min_common, {O.P.shrinkage}::DOUBLE AS shrinkage, {O.P.ranking_users} AS ranking_users,
+  {O.P.candidates} AS n_candidates, {O.P.validation_seed} AS validation_seed, {O.P.test_seed} AS test_seed FROM t_split""",
+    lambda w: w.metadata(),
 )
 
 # content
@@ -146,8 +134,9 @@ register("item_pair_stats", PAIR_SQL.format("t_ipairs"), lambda w: _stats(simila
 register("user_pair_stats", PAIR_SQL.format("t_upairs"), lambda w: _stats(similarity.pair_stats(w.train, "user_id", "item_id", w.p.min_common)))
 register("item_similarity", "SELECT item_id, nbr_id, sim, support FROM t_isim", lambda w: w.item_edges)
 register("item_topk_neighbors", "SELECT item_id, nbr_id, sim, support FROM t_itop", lambda w: w.item_graph)
+register("item_topk_neighbors_catalog", "SELECT item_id, nbr_id, sim, support FROM t_itop", lambda w: w.item_graph, O.CATALOG, catalog=True)
 register("user_similarity", "SELECT user_id, nbr_id, sim, n_common FROM t_usim", lambda w: w.user_edges)
-register("user_similarity_lookup", "SELECT user_id, nbr_id, sim, n_common FROM t_usim WHERE user_id <= 20", lambda w: similarity.user_similarity_to(w.train, w.train.where("user_id <= 20"), w.p.min_common, w.p.shrinkage))
+register("user_similarity_lookup", "SELECT user_id, nbr_id, sim, n_common FROM t_usim WHERE user_id IN (SELECT user_id FROM t_ru)", lambda w: similarity.user_similarity_to(w.train, w.ranking_users("test"), w.p.min_common, w.p.shrinkage))
 register("user_knn_neighbors", "SELECT user_id, item_id, nbr_id, sim FROM t_unbr_all JOIN t_test USING (user_id, item_id) WHERE nth <= 3", lambda w: neighbors.user_knn_neighbors(w.split("test"), w.train, w.user_edges, 3).select("user_id", "item_id", "nbr_id", "sim"))
 PREDICTED = f"SELECT user_id, item_id, {ROUND('prediction')} AS prediction, n_neighbors FROM {{}} JOIN t_test USING (user_id, item_id)"
 
@@ -159,6 +148,9 @@ def _predicted(df: DataFrame) -> DataFrame:
 register("user_knn_predict", PREDICTED.format("t_uknn"), lambda w: _predicted(w.user_knn(w.split("test"))))
 register("item_knn_predict", PREDICTED.format("t_iknn"), lambda w: _predicted(w.item_knn(w.split("test"))))
 
+register("neighbor_counts", "SELECT 'user_knn' AS stage, user_id, item_id, n_neighbors FROM t_uknn JOIN t_test USING (user_id, item_id) UNION ALL SELECT 'movie_knn', user_id, item_id, n_neighbors FROM t_iknn JOIN t_test USING (user_id, item_id)", lambda w: w.counted("user_knn").select(F.lit("user_knn").alias("stage"), "user_id", "item_id", "n_neighbors").unionByName(w.counted("movie_knn").select(F.lit("movie_knn").alias("stage"), "user_id", "item_id", "n_neighbors")))
+register("tag_index", "SELECT item_id - 1 AS tag_id, title AS tag, CAST(row_number() OVER (ORDER BY item_id DESC) - 1 AS INT) AS place FROM t_items", lambda w: source.tag_index(w.items.orderBy(F.desc("item_id")).select((F.col("item_id") - 1).alias("tag_id"), F.col("title").alias("tag"))))
+
 # candidates
 register("relevant_heldout", "SELECT user_id, item_id, rating FROM t_rel", lambda w: C.relevant_heldout(w.split("test"), w.train, w.p.relevance).select("user_id", "item_id", "rating"))
 register("ranking_users", "SELECT user_id, positive FROM t_ru", lambda w: w.ranking_users("test"))
@@ -194,13 +186,15 @@ register(
 )
 
 # ensembles
-register("hybrid_alpha_sweep", f"SELECT alpha, {ROUND('rmse')} AS rmse FROM t_asweep", lambda w: w.alpha_sweep.withColumn("rmse", shown(F.col("rmse"))))
-register("hybrid_alpha", f"SELECT alpha, {ROUND('rmse')} AS rmse FROM t_alpha", lambda w: w.alpha.withColumn("rmse", shown(F.col("rmse"))))
-register("hybrid_predict", PREDICTED.format("t_hyb"), lambda w: _predicted(w.split("test").select("user_id", "item_id").join(w.hybrid(w.split("test"), w.held_components), ["user_id", "item_id"])))
+register("hybrid_alpha_sweep", f"SELECT alpha, {ROUND('rmse')} AS rmse FROM t_asweep", lambda w: w.alpha_sweep.withColumn("rmse", shown(F.col("rmse"))), O.CATALOG, catalog=True)
+register("hybrid_alpha", f"SELECT alpha, {ROUND('rmse')} AS rmse FROM t_alpha", lambda w: w.alpha.withColumn("rmse", shown(F.col("rmse"))), O.CATALOG, catalog=True)
+register("hybrid_predict", PREDICTED.format("t_hyb"), lambda w: _predicted(w.split("test").select("user_id", "item_id").join(w.hybrid(w.split("test"), w.held_components), ["user_id", "item_id"])), O.CATALOG, catalog=True)
 register(
     "hybrid_rank_confident",
     f"SELECT user_id, pos, item_id, {ROUND('score')} AS score FROM t_s_hybrid_n",
-    lambda w: w.candidates("test").join(w.hybrid(w.candidates("test")), ["user_id", "item_id"]).select("user_id", "pos", "item_id", shown(F.col("prediction")).alias("score")),
+    lambda w: w.candidates("test").join(w.hybrid(w.candidates("test"), few=True), ["user_id", "item_id"]).select("user_id", "pos", "item_id", shown(F.col("prediction")).alias("score")),
+    O.CATALOG,
+    catalog=True,
 )
 register("lambda_rating_sweep", f"SELECT lam, {ROUND('rmse')} AS rmse FROM t_rsweep", lambda w: w.rating_sweep.withColumn("rmse", shown(F.col("rmse"))))
 register("lambda_rating", f"SELECT lam, {ROUND('rmse')} AS rmse FROM t_rlam", lambda w: w.rating_lambda.withColumn("rmse", shown(F.col("rmse"))))
@@ -211,11 +205,12 @@ register("zscore_rows", f"SELECT user_id, pos, {ROUND('za')} AS za, {ROUND('zb')
 register("mf_bpr_predict", f"SELECT user_id, item_id, {ROUND('prediction')} AS prediction FROM t_mfbpr JOIN t_test USING (user_id, item_id)", lambda w: w.predictions("mf_bpr").select("user_id", "item_id", shown(F.col("prediction")).alias("prediction")))
 
 # stages: rating metrics, candidate scores, ranks and ranking metrics
+DENSE = ("genome_content", "hybrid")  # stages that need dense vectors, and so the items that have them
 for _stage, _rows in O.PREDICTIONS.items():
-    register(f"rating_metrics_{_stage}", O.metrics(_rows), lambda w, s=_stage: w.rating_metrics(s))
-    register(f"rank_scores_{_stage}", f"SELECT user_id, pos, item_id, is_positive, {ROUND('score')} AS score FROM t_s_{_stage}", lambda w, s=_stage: w.rank_scores(s).withColumn("score", shown(F.col("score"))))
-    register(f"ranking_metrics_{_stage}", O.ranking(f"t_r_{_stage}"), lambda w, s=_stage: w.ranking_metrics(s))
-register("rating_metrics_genome_content", O.metrics("(SELECT t.*, prediction FROM t_test t JOIN t_tcontent USING (user_id, item_id))"), lambda w: w.rating_metrics("genome_content"), O.CATALOG, catalog=True)
+    _view = (O.CATALOG, True) if _stage in DENSE else (None, False)
+    register(f"rating_metrics_{_stage}", O.metrics(_rows), lambda w, s=_stage: w.rating_metrics(s), _view[0], catalog=_view[1])
+    register(f"rank_scores_{_stage}", f"SELECT user_id, pos, item_id, is_positive, {ROUND('score')} AS score FROM t_s_{_stage}", lambda w, s=_stage: w.rank_scores(s).withColumn("score", shown(F.col("score"))), _view[0], catalog=_view[1])
+    register(f"ranking_metrics_{_stage}", O.ranking(f"t_r_{_stage}"), lambda w, s=_stage: w.ranking_metrics(s), _view[0], catalog=_view[1])
 register("positive_rank", "SELECT user_id, rank FROM t_r_movie_knn", lambda w: w.ranks("movie_knn"))
 register(
     "topn_recommend",
@@ -232,14 +227,66 @@ register("bpr_select", None, lambda w: trainers.best_bpr(trainers.bpr_quality(w.
 register("mf_als", None, lambda w: trainers.mf_als(w.train, w.p, w.p.mf_grid[1]).select("side", "id", "bias", F.size("factors").alias("n_factors")), catalog=True)
 register("factor_pca", None, lambda w: reports.factor_pca(w.mf_users))
 
+
+def _trained(w: Workspace) -> Workspace:
+    """The same workspace with trained factors instead of the stand-ins."""
+    return Workspace(w.spark, w.sf_dir, w.p, w.catalog, models={m: w.train_model(m) for m in ("mf", "bpr")})
+
+
+def _trained_metrics(w: Workspace) -> DataFrame:
+    t = _trained(w)
+    return reports.rating(t, ("global_mean", "mf", "bpr", "mf_bpr")).select("stage", "rmse").join(reports.ranking(t, ("global_mean", "mf", "bpr", "mf_bpr")).select("stage", "ndcg"), "stage")
+
+
+register("trained_factor_stages", None, _trained_metrics, catalog=True)
+
+# stages of a caller: functions of pairs, counts of pairs, and functions of a user's items
+CUSTOM_SCORE = "(1 + (user_id * 7 + item_id * 3) % 9 / 2.0::DOUBLE)"
+
+
+def _custom(users, items):
+    return 1 + (users * 7 + items * 3) % 9 / 2.0
+
+
+OWN_STAGE = S.Stage("a caller's own", S.row_map(_custom), S.per_user(_custom))
+_OWN = f"(SELECT t.*, {CUSTOM_SCORE} AS prediction FROM t_test t)"
+_OWN_RANKS = O.ranks(f"(SELECT c.*, {CUSTOM_SCORE} AS score FROM t_cand c)")
+register("custom_row_map", O.metrics(_OWN), lambda w: S.rating_metrics(w, OWN_STAGE))
+register("custom_row_count", "SELECT user_id, item_id, CAST((user_id + item_id) % 7 AS INT) AS n FROM t_test", lambda w: S.row_count(lambda users, items: (users + items) % 7)(w, w.split("test")))
+register("custom_ranking", O.ranking(f"({_OWN_RANKS})"), lambda w: S.ranking_metrics(w, OWN_STAGE))
+
 # reports
-RESULTS = ("global_mean", "genre_content", "user_knn", "movie_knn", "mf", "bpr", "hybrid", "mf_bpr")
+RESULTS = tuple(STAGES)
 _RATING = "\nUNION ALL ".join(f"SELECT '{s}' AS stage, {k} AS ord, * FROM ({O.metrics(O.PREDICTIONS[s])})" for k, s in enumerate(RESULTS))
 _RANKING = "\nUNION ALL ".join(f"SELECT '{s}' AS stage, {k} AS ord, * FROM ({O.ranking(f't_r_{s}')})" for k, s in enumerate(RESULTS))
-register("report_rating", f"SELECT stage, ord, rmse, mae, bounded_rmse, bounded_mae FROM ({_RATING})", lambda w: reports.rating(w, RESULTS).select("stage", "ord", "rmse", "mae", "bounded_rmse", "bounded_mae"))
-register("report_out_of_range", f"SELECT stage, ord, n_out_of_range, out_of_range_pct FROM ({_RATING})", lambda w: reports.rating(w, RESULTS).select("stage", "ord", "n_out_of_range", "out_of_range_pct"))
-register("report_ranking", f"SELECT stage, ord, hit_rate, ndcg, mrr, k FROM ({_RANKING})", lambda w: reports.ranking(w, RESULTS).select("stage", "ord", "hit_rate", "ndcg", "mrr", "k"))
-register("report_tradeoff", f"SELECT stage, rmse, ndcg FROM ({_RATING}) JOIN ({_RANKING}) USING (stage)", lambda w: reports.rating(w, RESULTS).join(reports.ranking(w, RESULTS), "stage").select("stage", "rmse", "ndcg"))
+
+
+def report(name: str, sql: str, plan: Callable[[Workspace], DataFrame]) -> None:
+    """A report of several stages, on the items that all of them know."""
+    register(name, sql, plan, O.CATALOG, catalog=True, report=True)
+
+
+report("report_rating", f"SELECT stage, ord, rmse, mae, bounded_rmse, bounded_mae FROM ({_RATING})", lambda w: reports.rating(w, RESULTS).select("stage", "ord", "rmse", "mae", "bounded_rmse", "bounded_mae"))
+report("report_out_of_range", f"SELECT stage, ord, n_out_of_range, out_of_range_pct FROM ({_RATING})", lambda w: reports.rating(w, RESULTS).select("stage", "ord", "n_out_of_range", "out_of_range_pct"))
+report("report_ranking", f"SELECT stage, ord, hit_rate, ndcg, mrr, k FROM ({_RANKING})", lambda w: reports.ranking(w, RESULTS).select("stage", "ord", "hit_rate", "ndcg", "mrr", "k"))
+report("report_tradeoff", f"SELECT stage, rmse, ndcg FROM ({_RATING}) JOIN ({_RANKING}) USING (stage)", lambda w: reports.tradeoff(w, RESULTS))
+# seconds that a run might have left; a report is of what its sidecars hold
+TIMES = [("mf", "train", 41.5), ("bpr", "train", 63.25), ("hybrid", "train", 12.0), ("global_mean", "train", 0.0), ("mf", "predict", 0.5), ("user_knn", "predict", 30.0), ("user_knn", "rank", 4.0), ("bpr", "rank", 0.25), ("movie_knn", "rank", 0.0)]
+_TIMES = "(VALUES " + ", ".join(f"('{s}', '{kind}', {x}::DOUBLE)" for s, kind, x in TIMES) + ") v(stage, kind, seconds)"
+
+
+def _times(w: Workspace) -> DataFrame:
+    return w.spark.createDataFrame(TIMES, "stage string, kind string, seconds double")
+
+
+_NTH = "CAST(row_number() OVER (PARTITION BY kind ORDER BY seconds, stage) AS INT) AS nth"
+register("report_training_time", f"SELECT stage, seconds, {_NTH} FROM {_TIMES} WHERE kind = 'train' AND seconds > 0", lambda w: reports.training_time(_times(w)))
+register("report_prediction_time", f"SELECT kind, stage, seconds, {_NTH} FROM {_TIMES} WHERE kind <> 'train' AND seconds > 0", lambda w: reports.prediction_time(_times(w)))
+register(
+    "report_order",
+    "SELECT * FROM (VALUES ('mf_bpr', 2), ('bpr', 1), ('a new one', 3), ('genre_content', 0), ('z', 4)) v(stage, ord)",
+    lambda w: reports.in_display_order(w.spark.createDataFrame([(s,) for s in ("z", "mf_bpr", "bpr", "a new one", "genre_content")], "stage string")),
+)
 HYBRIDS = ("mf", "bpr", "mf_bpr")
 _HIST = "\nUNION ALL ".join(f"SELECT '{s}' AS stage, rank FROM t_r_{s}" for s in HYBRIDS)
 register(
@@ -254,6 +301,7 @@ register(
     f"SELECT stage, CAST(least(59, floor((score - lo) / ((hi - lo) / 60))) AS INT) AS bin, count(*) AS n, any_value({ROUND('m')}) AS pooled_mean FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, avg(score) OVER w AS m FROM ({_SCALES}) WINDOW w AS (PARTITION BY stage)) GROUP BY stage, bin",
     lambda w: reports.score_scales(w),
 )
+register("report_score_means", f"SELECT 'mf' AS stage, user_id, {ROUND('avg(a)')} AS row_mean FROM t_two GROUP BY user_id UNION ALL SELECT 'bpr', user_id, {ROUND('avg(b)')} FROM t_two GROUP BY user_id", lambda w: reports.score_means(w))
 register(
     "report_decomposition",
     f"SELECT user_id, pos, {ROUND('lam * za')} AS mf_part, {ROUND('(1 - lam) * zb')} AS bpr_part, {ROUND('score')} AS score FROM t_fused WHERE user_id IN (SELECT user_id FROM t_ru ORDER BY user_id LIMIT 5)",
@@ -264,6 +312,11 @@ register(
     f"SELECT {ROUND('any_value(slope)')} AS slope, {ROUND('any_value(intercept)')} AS intercept, {ROUND('min(prediction)')} AS lowest, {ROUND('max(prediction)')} AS highest FROM t_bprr JOIN t_test USING (user_id, item_id), t_affine",
     lambda w: reports.calibration(w),
 )
+register(
+    "report_calibration_line",
+    f"SELECT CAST(p AS INT) AS point, {ROUND('x')} AS score, {ROUND('slope * x + intercept')} AS rating FROM (SELECT p, slope, intercept, lo + (hi - lo) * p / 199.0::DOUBLE AS x FROM range(200) r(p), t_affine, (SELECT min(score) AS lo, max(score) AS hi FROM t_bpr JOIN t_test USING (user_id, item_id)))",
+    lambda w: reports.calibration_line(w),
+)
 register(
     "merge_results",
     f"SELECT 'global_mean' AS stage, rmse, mae FROM ({O.metrics(O.PREDICTIONS['movie_knn'])}) UNION ALL SELECT 'mf', rmse, mae FROM ({O.metrics(O.PREDICTIONS['mf'])})",

@@ -8,34 +8,52 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.functions.columns import shown, steady
+from affinis.functions.columns import shown, steady, uniform
 from affinis.operators import candidates as C
-from affinis.operators import content, ensemble, factors, metrics, neighbors, prepare, similarity
+from affinis.operators import content, ensemble, factors, metrics, neighbors, prepare, similarity, trainers, validate
 from affinis.schema import SMALL, Params
 from affinis.sources import ratings as source
 
 
+#: Up to so many users (some 16 MB) are broadcast to meet the catalogue.
+BROADCAST_USERS = 1_000_000
+
+
 class Workspace:
-    """``catalog``: restrict to items with dense vectors. Tables with several readers are kept while memory or disk lasts."""
+    """``catalog``: restrict to items with dense vectors. Tables with several readers are kept while memory or disk lasts.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = SMALL, catalog: bool = False, noise: bool = False) -> None:
+    ``tables``: ratings (user_id, item_id, rating, ts), items (item_id, title, genres) and vectors (item_id, vector) of the
+    caller, instead of the views over the test tables. ``models``: trained factors by model (mf, bpr), as the trainers
+    return them for one regularisation, and without them the stand-ins. ``report``: several stages will be asked for.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = SMALL, catalog: bool = False, noise: bool = False, tables: dict[str, DataFrame] | None = None, models: dict[str, DataFrame] | None = None, report: bool = False) -> None:
         self.spark, self.sf_dir, self.p, self.catalog, self.noise = spark, sf_dir, params, catalog, noise
+        self.tables, self.models, self.report, self.kept = tables or {}, models or {}, report, []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.kept[-1]
+
+    def release(self) -> None:
+        """Give back what is kept; the workspace's tables still work, and are computed anew."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
     # sources
     @cached_property
     def raw(self) -> DataFrame:
+        if "ratings" in self.tables:
+            return self.tables["ratings"]
         return (source.noise_ratings if self.noise else source.planted_ratings)(self.spark, self.sf_dir)
 
     @cached_property
     def items(self) -> DataFrame:
-        return source.items(self.spark, self.sf_dir)
+        return self.tables["items"] if "items" in self.tables else source.items(self.spark, self.sf_dir)
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return source.dense_vectors(self.spark, self.sf_dir)
+        return self.tables["vectors"] if "vectors" in self.tables else source.dense_vectors(self.spark, self.sf_dir)
 
     @cached_property
     def in_catalog(self) -> DataFrame:
@@ -82,11 +100,17 @@ class Workspace:
             self._profiles[kind] = self.keep(content.profiles(self.train, self.features(kind)))
         return self._profiles[kind]
 
+    @cached_property
+    def packed_profiles(self) -> DataFrame:
+        return self.keep(content.packed(content.profiles(self.train, self.tag_features)))
+
     @cached_property
     def _profiles(self) -> dict[str, DataFrame]:
         return {}
 
     def cosines(self, pairs: DataFrame, kind: str) -> DataFrame:
+        if kind == "tag":
+            return content.dense_likeness(pairs, self.packed_profiles, self.vectors)
         return content.likeness(pairs, self.profiles(kind), self.features(kind))
 
     def beta(self, kind: str) -> DataFrame:
@@ -112,9 +136,10 @@ class Workspace:
     def user_edges(self) -> DataFrame:
         return self.keep(similarity.user_similarity(self.train, self.p.min_common, self.p.shrinkage))
 
-    def user_knn(self, pairs: DataFrame, k: int | None = None) -> DataFrame:
-        """(user_id, item_id, prediction, n_neighbors)."""
-        found = neighbors.user_knn_neighbors(pairs, self.train, self.user_edges, k or self.p.user_neighbors)
+    def user_knn(self, pairs: DataFrame, k: int | None = None, few: bool = False) -> DataFrame:
+        """(user_id, item_id, prediction, n_neighbors). ``few``: only the users of the pairs need similarities."""
+        edges = similarity.user_similarity_to(self.train, pairs, self.p.min_common, self.p.shrinkage) if few else self.user_edges
+        found = neighbors.user_knn_neighbors(pairs, self.train, edges, k or self.p.user_neighbors)
         return self._steady(neighbors.weighted(pairs, found, self.user_means, self.item_means))
 
     def item_knn(self, pairs: DataFrame) -> DataFrame:
@@ -145,8 +170,8 @@ class Workspace:
     def _candidates(self) -> dict[str, DataFrame]:
         return {}
 
-    # factors: fixed stand-ins for trained ones, so that everything after training has an exact answer
-    def _stand_in(self, ids: DataFrame, key: str, shift: int, means: DataFrame | None) -> DataFrame:
+    # factors: trained ones, or fixed stand-ins for them, with which everything after training has an exact answer
+    def stand_in(self, ids: DataFrame, key: str, shift: int, means: DataFrame | None) -> DataFrame:
         size = self.vectors.agg(F.count("*").alias("size"))
         place = ids.select(key).distinct().crossJoin(F.broadcast(size)).withColumn("place", (F.col(key) + shift) % F.col("size"))
         vectors = self.vectors.select(F.col("item_id").alias("place"), F.col("vector").alias("factors"))
@@ -155,21 +180,34 @@ class Workspace:
             return rows.withColumn("bias", F.lit(0.0))
         return rows.join(means.select(key, "mean"), key).crossJoin(F.broadcast(self.mu)).select(key, "factors", steady(F.col("mean") - F.col("mu")).alias("bias"))
 
+    def _side(self, model: str, name: str, key: str) -> DataFrame | None:
+        return trainers.side(self.models[model], name, key) if model in self.models else None
+
     @cached_property
     def mf_users(self) -> DataFrame:
-        return self._stand_in(self.train, "user_id", 0, self.user_means)
+        return self._side("mf", "users", "user_id") or self.stand_in(self.train, "user_id", 0, self.user_means)
 
     @cached_property
     def mf_items(self) -> DataFrame:
-        return self._stand_in(self.train, "item_id", 0, self.item_means)
+        return self._side("mf", "items", "item_id") or self.stand_in(self.train, "item_id", 0, self.item_means)
 
     @cached_property
     def bpr_users(self) -> DataFrame:
-        return self._stand_in(self.train, "user_id", 1, None)
+        return self._side("bpr", "users", "user_id") or self.stand_in(self.train, "user_id", 1, None)
 
     @cached_property
     def bpr_items(self) -> DataFrame:
-        return self._stand_in(self.train, "item_id", 3, None)
+        return self._side("bpr", "items", "item_id") or self.stand_in(self.train, "item_id", 3, None)
+
+    def train_model(self, model: str) -> DataFrame:
+        """(reg, side, id, bias, factors, seen) of the regularisation that does best on the validation split."""
+        if model == "mf":
+            grid = self.keep(trainers.mf_grid(self.train, self.p))
+            best = trainers.best_mf(trainers.mf_errors(grid, self.split("validation")))
+        else:
+            grid = self.keep(trainers.bpr_grid(self.train, self.p))
+            best = trainers.best_bpr(trainers.bpr_quality(grid, self.candidates("validation"), self.p.cutoff, self.p.candidates))
+        return grid.join(F.broadcast(best.select("reg")), "reg")
 
     def mf(self, pairs: DataFrame) -> DataFrame:
         return factors.mf_scores(pairs.select("user_id", "item_id"), self.mf_users, self.mf_items, self.mu)
@@ -188,14 +226,16 @@ class Workspace:
         return mapped.select("user_id", "item_id", steady(F.col("slope") * F.col("score") + F.col("intercept")).alias("prediction"))
 
     # ensembles
-    def components(self, pairs: DataFrame, kind: str = "genre") -> DataFrame:
+    def components(self, pairs: DataFrame, kind: str = "tag", few: bool = False) -> DataFrame:
         """(user_id, item_id, content, knn, n_neighbors)."""
-        knn = self.user_knn(pairs).withColumnRenamed("prediction", "knn")
+        knn = self.user_knn(pairs, few=few).withColumnRenamed("prediction", "knn")
         return self.content(pairs, kind).withColumnRenamed("prediction", "content").join(knn, ["user_id", "item_id"])
 
     @cached_property
     def held_components(self) -> DataFrame:
         """The components of both held-out splits, of which one fits the weight and the other is predicted."""
+        if "components" in self.tables:
+            return self.tables["components"]
         return self.keep(self.components(self.splits.where("split <> 'train'").select("user_id", "item_id")))
 
     @cached_property
@@ -206,14 +246,14 @@ class Workspace:
     def alpha(self) -> DataFrame:
         return ensemble.best_alpha(self.alpha_sweep)
 
-    def hybrid(self, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    def hybrid(self, pairs: DataFrame, parts: DataFrame | None = None, few: bool = False) -> DataFrame:
         """(user_id, item_id, prediction, n_neighbors); ``parts`` has the pairs' components, if they are known."""
-        rows = (self.components(pairs) if parts is None else parts).crossJoin(F.broadcast(self.alpha.select("alpha")))
+        rows = (self.components(pairs, few=few) if parts is None else parts).crossJoin(F.broadcast(self.alpha.select("alpha")))
         return self._steady(ensemble.confident(rows, F.col("alpha"))).select("user_id", "item_id", "prediction", "n_neighbors")
 
     def hybrid_ranking(self, pairs: DataFrame) -> DataFrame:
         """As the ratings, but blended whether or not there are neighbours."""
-        rows = self.components(pairs).crossJoin(F.broadcast(self.alpha.select("alpha")))
+        rows = self.components(pairs, few=True).crossJoin(F.broadcast(self.alpha.select("alpha")))
         return rows.select("user_id", "item_id", steady(ensemble.blend(F.col("alpha"), F.col("content"), F.col("knn"))).alias("prediction"))
 
     def two_ratings(self, pairs: DataFrame) -> DataFrame:
@@ -251,19 +291,19 @@ class Workspace:
         return ensemble.fused(self.two_scores(split).crossJoin(F.broadcast(self.ranking_lambda.select("lam"))), F.col("lam"))
 
     # stages
-    def predict(self, stage: str, pairs: DataFrame) -> DataFrame:
-        """(user_id, item_id, prediction)."""
+    def predict(self, stage: str, pairs: DataFrame, few: bool = False) -> DataFrame:
+        """(user_id, item_id, prediction), and n_neighbors of the stages that have neighbours. ``few``: of a small part of the users."""
         if stage == "global_mean":
             return pairs.select("user_id", "item_id").crossJoin(F.broadcast(self.mu)).select("user_id", "item_id", F.col("mu").alias("prediction"))
         if stage in ("genre_content", "genome_content"):
             return self.content(pairs, "genre" if stage == "genre_content" else "tag")
-        plans = {"user_knn": self.user_knn, "movie_knn": self.item_knn, "mf": self.mf, "bpr": self.bpr_ratings, "hybrid": self.hybrid, "mf_bpr": self.mf_bpr}
-        return plans[stage](pairs).select("user_id", "item_id", "prediction")
+        if stage in ("user_knn", "hybrid"):
+            return {"user_knn": self.user_knn, "hybrid": self.hybrid}[stage](pairs, few=few)
+        found = {"movie_knn": self.item_knn, "mf": self.mf, "bpr": self.bpr_ratings, "mf_bpr": self.mf_bpr}[stage](pairs)
+        return found.select("user_id", "item_id", "prediction", *[c for c in found.columns if c == "n_neighbors"])
 
     def rank_scores(self, stage: str, split: str = "test") -> DataFrame:
         """(user_id, pos, item_id, is_positive, score) of the candidates."""
-        from affinis.functions.columns import uniform
-
         rows = self.candidates(split)
         if stage == "global_mean":
             return rows.withColumn("score", uniform(F.lit(self.p.baseline_seed), F.col("user_id"), F.col("pos")))
@@ -274,14 +314,47 @@ class Workspace:
         elif stage == "hybrid":
             scored = self.hybrid_ranking(rows).withColumnRenamed("prediction", "score")
         else:
-            scored = self.predict(stage, rows).withColumnRenamed("prediction", "score")
-        return rows.join(scored, ["user_id", "item_id"]).select("user_id", "pos", "item_id", "is_positive", "score")
+            scored = self.predict(stage, rows, few=True).withColumnRenamed("prediction", "score")
+        return rows.join(scored.select("user_id", "item_id", "score"), ["user_id", "item_id"]).select("user_id", "pos", "item_id", "is_positive", "score")
 
-    def predictions(self, stage: str, split: str = "test") -> DataFrame:
+    def counted(self, stage: str, split: str = "test") -> DataFrame:
+        """(user_id, item_id, rating, prediction), and n_neighbors of the stages that have neighbours."""
         rows = self.split(split)
-        found = self.hybrid(rows, self.held_components).drop("n_neighbors") if stage == "hybrid" else self.predict(stage, rows)
+        if stage == "hybrid":
+            found = self.hybrid(rows, self.held_components)
+        elif self.report and self.catalog and stage in ("user_knn", "genome_content"):  # the hybrid's parts are there
+            names = {"user_knn": ["knn", "n_neighbors"], "genome_content": ["content"]}[stage]
+            found = self.held_components.select("user_id", "item_id", F.col(names[0]).alias("prediction"), *names[1:])
+        else:
+            found = self.predict(stage, rows)
         return rows.join(found, ["user_id", "item_id"])
 
+    def predictions(self, stage: str, split: str = "test") -> DataFrame:
+        return self.counted(stage, split).select("user_id", "item_id", "rating", "prediction")
+
+    def quality(self) -> DataFrame:
+        """(check, violations) of the ratings, the splits and the features."""
+        short = prepare.user_activity(self.splits).where(F.col("n") < self.p.min_history)
+        return validate.union(
+            validate.ratings(self.raw, self.p.low, self.p.high),
+            validate.number_of(validate.duplicate_pairs(self.splits), "pair_repeated"),
+            validate.number_of(short, "history_too_short"),
+            validate.number_of(content.missing(self.genre_features, self.splits), "features_missing"),
+            validate.number_of(self.items.groupBy("item_id").count().where("count > 1"), "item_repeated"),
+        )
+
+    def metadata(self) -> DataFrame:
+        """One row: sizes of the data and every parameter that the prepared tables depend on."""
+        p = self.p
+        return self.splits.agg(
+            F.countDistinct("user_id").alias("n_users"),
+            F.countDistinct("item_id").alias("n_items"),
+            shown(F.avg(F.when(F.col("split") == "train", F.col("rating")))).alias("global_mean"),
+            *[F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s}") for s in ("train", "validation", "test")],
+            F.count("*").alias("n_rows"),
+            *[F.lit(v).alias(k) for k, v in {"min_history": p.min_history, "min_train": p.min_history - 2, "tie_break": "item", "catalog": self.catalog, "relevance": p.relevance, "item_neighbors": p.item_neighbors, "user_neighbors": p.user_neighbors, "min_common": p.min_common, "shrinkage": p.shrinkage, "ranking_users": p.ranking_users, "n_candidates": p.candidates, "validation_seed": p.validation_seed, "test_seed": p.test_seed}.items()],
+        )
+
     def rating_metrics(self, stage: str) -> DataFrame:
         return metrics.rating_metrics(self.predictions(stage), self.p.low, self.p.high)
 
@@ -293,7 +366,7 @@ class Workspace:
 
     def top_n(self, users: DataFrame, stage: str, n: int) -> DataFrame:
         """(user_id, nth, item_id, score): the best unobserved items of the whole catalogue for the given users."""
-        free = C.unobserved(users, self.train, self.known)
+        free = C.unobserved(users, self.train, self.known, users.count() <= BROADCAST_USERS)
         best = similarity.Window.partitionBy("user_id").orderBy(F.desc("prediction"), "item_id")
         ranked = self.predict(stage, free).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n)
         return ranked.select("user_id", "nth", "item_id", shown(F.col("prediction")).alias("score"))

@@ -64,5 +64,5 @@ class Params:
     seed: int = 42
 
 
-#: For the test tables, whose catalogue is smaller than the default number of candidates.
-SMALL = Params(ranking_users=100, candidates=100)
+#: For the test tables, of whose items a few hundred have dense vectors: fewer than the default number of candidates.
+SMALL = Params(candidates=100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,12 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schema.TAGS, ["tagId", "tag"])
 
 
+def tag_index(tags: DataFrame) -> DataFrame:
+    """(tag_id, tag, place): the tags' places from 0 in the order of the file, a dictionary of some thousand rows."""
+    ordered = tags.select("tag_id", "tag", F.monotonically_increasing_id().alias("row"))
+    return ordered.select("tag_id", "tag", (F.row_number().over(Window.orderBy("row")) - 1).cast("int").alias("place"))
+
+
 def read_tag_scores(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schema.TAG_SCORES, ["movieId", "tagId", "relevance"])
 

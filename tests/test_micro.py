@@ -10,7 +10,7 @@ from affinis.functions.columns import clip, discount, dot, logistic, safe_div, s
 from affinis.operators import candidates, content, ensemble, factors, metrics, neighbors, prepare, similarity, trainers, validate
 from affinis.schema import Params
 from affinis.sources import ratings as source
-from affinis.sources.artifacts import Artifacts, merge_results
+from affinis.sources.artifacts import Artifacts, load_results, merge_results, nested_metric
 
 M = [(1, 1, 5.0), (1, 2, 3.0), (1, 3, 1.0), (2, 1, 4.0), (2, 2, 2.0), (2, 4, 3.0), (3, 2, 4.0), (3, 3, 4.0)]
 RATED = "user_id long, item_id long, rating double"
@@ -76,7 +76,7 @@ def test_split_and_history(spark):
 
 
 def test_dense_ids(spark):
-    ids = [5, 5, -3, 10_000_000_000, 7, 6]
+    ids = [5, 5, -3, 10_000_000_000, 7, 6, *range(100, 900)]
     got = {r.k: r.dense_id for r in prepare.dense_ids(spark.createDataFrame([(i,) for i in ids], "k long"), "k").collect()}
     assert got == {k: n for n, k in enumerate(sorted(set(ids)))}
 
@@ -260,3 +260,77 @@ def test_registered_trainers_run_all_epochs(monkeypatch, name):
     monkeypatch.setattr(queries, "Workspace", lambda spark, sf_dir, **options: MagicMock(p=Params()))
     with pytest.raises(Asked, match="20"):
         queries.QUERIES[name](None, "")
+
+
+def test_results_of_files(spark, tmp_path):
+    import json
+
+    def result(name, rmse):
+        return {"rating": {"name": name, "rmse": rmse, "ok": True}, "ranking": {"ndcg": 0.5, "bad": float("nan")}}
+
+    assert load_results(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "a.json").write_text(json.dumps(result("one", 1.0)))
+    (tmp_path / "b.json").write_text(json.dumps({"two": result("two", 2.0), "note": 3}))
+    (tmp_path / "c.json").write_text("{broken")
+    (tmp_path / "d.json").write_text("[1]")
+    found = load_results(spark, str(tmp_path))
+    assert {r.name: r.value for r in nested_metric(found, "rating", "rmse").collect()} == {"one": 1.0, "two": 2.0}
+    assert nested_metric(found, "rating", "ok").count() == nested_metric(found, "ranking", "bad").count() == nested_metric(found, "none", "x").count() == 0
+    assert [r.name for r in nested_metric(load_results(spark, str(tmp_path / "a.json")), "ranking", "ndcg").collect()] == ["one"]
+    (tmp_path / "e.json").write_text(json.dumps({"one": result("one", 3.0)}))
+    with pytest.raises(ValueError, match="one"):
+        load_results(spark, str(tmp_path))
+    (tmp_path / "results.json").write_text(json.dumps({"last": result("last", 4.0)}))
+    assert {r.name for r in load_results(spark, str(tmp_path)).collect()} == {"last"}
+
+
+def test_damaged_folders_are_no_absent_ones(spark, tmp_path):
+    (tmp_path / "table").mkdir()
+    (tmp_path / "table" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        Artifacts(spark, str(tmp_path)).read("table").count()
+
+
+def test_non_finite_predictions_are_counted(spark):
+    rows = spark.createDataFrame([(5.0, 5.0), (3.0, float("nan")), (3.0, None)], "rating double, prediction double")
+    assert metrics.rating_metrics(rows, 0.5, 5.0).first().n_non_finite == 2
+
+
+def test_windowed_means(spark):
+    from affinis.streaming.means import windowed_means
+
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", 1, 2.0), ("2024-01-01 00:50:00", 1, 4.0), ("2024-01-01 01:10:00", 1, 9.0)], "ts string, user_id long, value double")
+    got = windowed_means(rows.withColumn("ts", F.to_timestamp("ts"))).orderBy("start").collect()
+    assert [(r.n, r["mean"]) for r in got] == [(2, 3.0), (1, 9.0)]
+
+
+def test_tradeoffs_need_two_stages(spark):
+    from affinis.plans import reports
+    from unittest.mock import patch
+
+    rows = spark.createDataFrame([("a", 0, 1.0, 0.5, 10), ("b", 1, 2.0, 0.25, 10)], "stage string, ord int, rmse double, ndcg double, k int")
+    for n, left in ((2, 2), (1, 0)):
+        some = rows.limit(n)
+        with patch.object(reports, "rating", lambda w, s, x=some: x), patch.object(reports, "ranking", lambda w, s, x=some: x):
+            assert reports.tradeoff(None, ()).count() == left
+    assert reports.common_cutoff(rows).first().k == 10 and reports.common_cutoff(rows.withColumn("k", F.col("ord"))).count() == 0
+
+
+def test_hot_keys_are_met_in_blocks(spark, monkeypatch):
+    """All users know item 1 and user 1 all items: the same sums, and no task with a square of them."""
+    rows = [(u, i, float((u * i + u) % 5 + 1)) for u in range(1, 61) for i in range(1, 61) if i == 1 or u == 1 or (u * 31 + i * 17) % 7 == 0]
+    train = spark.createDataFrame(rows, RATED)
+    asked = train.select("user_id", "item_id").where("user_id % 3 = 0")
+
+    def told():
+        stats = [sorted((r.a, r.b, round(r.xy, 9), round(r.xx, 9), r.n) for r in similarity.pair_stats(train, x, y, 1).collect()) for x, y in (("item_id", "user_id"), ("user_id", "item_id"))]
+        edges = similarity.user_similarity(train, 2, 10.0)
+        some = sorted(map(tuple, similarity.user_similarity_to(train, asked, 2, 10.0).collect()))
+        return *stats, some, sorted((r.user_id, r.item_id, r.nbr_id, r.sim) for r in neighbors.user_knn_neighbors(asked, train, edges, 5).collect())
+
+    want = told()
+    monkeypatch.setattr(similarity, "HOT_ROWS", 7)
+    assert told() == want
+    hot = similarity.blocks_of(train.select(F.col("user_id").alias("on")), "on")
+    dealt = similarity.dealt(train.select(F.col("item_id").alias("a"), F.col("user_id").alias("on")), "on", hot, "i", "j", "a")
+    assert max(r["count"] for r in dealt.groupBy("on", "i", "j").count().collect()) < 25
