@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import warnings
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +21,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to a worker, if one text has not more.
 BATCH_BYTES = 1 << 26
 
+#: Paths of the tables that this process has cut and not deleted.
+_TABLES: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: what the session names, else a folder beside the warehouse."""
+    """The shared folder for cut lineage: what the session names, else (with a warning, on a cluster) one beside the warehouse."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is unset: tables are cut beside the warehouse, which all executors must share", stacklevel=2)
     chosen = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(chosen)
     return chosen
@@ -44,10 +52,29 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_table(df: DataFrame) -> DataFrame:
     """As ``cut``, by a Parquet table in that folder: smaller, and later reads take only the columns they use."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut meanwhile are deleted at the end; whatever is made of them must have been written by then."""
+    begun = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[begun:]:
+            delete(spark, path)
+        del _TABLES[begun:]
+
+
 def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
     """Send this package to the workers, and bound what an Arrow batch of whole texts holds there."""
     context = spark.sparkContext

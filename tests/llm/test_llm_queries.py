@@ -64,3 +64,30 @@ def test_pipeline_is_its_stages(spark):
     for r in stays.collect():
         want += [(r.doc_id, tuple(next(own.encode_batch([r.text]))))] * copies[r.doc_id]
     assert sorted(want) == sorted((r.doc_id, tuple(r.ids)) for r in got.collect())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; no rows at all; and what is left in the shared folder."""
+    from test_operators import SCHEMA, prose, rows
+
+    from affinis.llm import common
+
+    data = rows() + rows()[3:6] + [(None, None, None, None, None, "x", "y", "z", "w"), (200, prose("fr", 60_000, 4), "fr", "s1", None, None, None, None, None)]
+    for name, some in (("odd", data), ("none", [])):
+        spark.createDataFrame(some, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+    left = len(common._TABLES)
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert len(common._TABLES) == left
+    assert not {r.doc_id for r in got} & {100, 101, 102, 103} and {104, 200} & {r.doc_id for r in got}
+    assert all(r.n_tokens == len(r.ids) for r in got)
+    docs = table(spark, str(tmp_path / "odd"), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == SCHEMA.replace(",", "").split()[::2]
+        docs = common.cut_table(docs)
+    per = {(r.doc_id, r.source): r["count"] for r in docs.groupBy("doc_id", "source").count().collect()}
+    counted = {}
+    for r in got:
+        counted[r.doc_id, r.source] = counted.get((r.doc_id, r.source), 0) + 1
+    assert counted == per and max(counted.values()) <= 4
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
