@@ -196,6 +196,33 @@ def test_nearest(spark):
     assert len(few) == 3
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_nearest_over_blocks(spark, monkeypatch, clustered):
+    """Blocks of 200: recall in both kinds of data, and of clusters few blocks for each query."""
+    monkeypatch.setattr(ann, "BLOCK", 200)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((40, 24)) * 4
+    v = centre[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 24)) if clustered else rng.standard_normal((4000, 24))
+    v[1000:1600] = v[1000]  # a very common vector
+    pairs = []
+
+    def counted(kept, asks, k, searched=ann._searched):
+        pairs.append(asks.count())
+        return searched(kept, asks, k)
+
+    monkeypatch.setattr(ann, "_searched", counted)
+    got = ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).collect()
+    hit = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        own = sorted((r["rank"], r.score) for r in got if r.query_id == q)
+        assert [x for x, _ in own] == list(range(1, 11))
+        hit += sum(s <= np.sort(d)[9] + 1e-9 for _, s in own)
+    assert hit / 400 >= 0.9
+    assert pairs[0] == 40 and (pairs[1] < 40 * 8 if clustered else pairs[1] > 40 * 10)
+
+
 # 5
 def plain_fingerprint(text, width=3):
     words = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
