@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 import warnings
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.functions.workers import send_package
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,17 +74,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
     """Send this package to the workers, and bound what an Arrow batch of whole texts holds there."""
-    context = spark.sparkContext
-    if getattr(context, "_affinis_sent", None) is None:
-        package = Path(__file__).resolve().parent.parent
-        folder = tempfile.mkdtemp()
-        atexit.register(shutil.rmtree, folder, True)
-        path = f"{folder}/affinis_package.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(path)  # the driver's file server hands it to the executors
-        context._affinis_sent = True
+    send_package(spark)
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key, str(1 << 30))

@@ -7,7 +7,8 @@ record its place, so running byte counts over all ranges are exact, and shards a
 
 Defined results: a null text has no bytes and the checksum of an empty one; equal texts are neighbours and
 share a shard unless a boundary falls among them; repeated rows get slots of their own; ties of the whole
-(key, id, size, checksum) are between equal rows; an empty table gives an empty result; other columns of
+(key, id, size, checksum) are between equal rows, which share a task however many they are (rows without an id
+count as equal if their texts are); an empty table gives an empty result; other columns of
 the input do not matter.
 """
 
@@ -136,10 +137,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file: int = 1_000_000) -> None:
-    """Write whole documents as shard=N folders, in slot order within each file's rows."""
-    placed = shard(docs, shards).select("doc.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    ordered = placed.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    ordered.withColumnRenamed("_shard", "shard").withColumnRenamed("_slot", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    """Write whole documents as shard=N folders with a column slot, in slot order within each file's rows.
+
+    Where the documents have columns of these names, ours have as many underscores before them as it takes.
+    """
+    names = {c.lower() for c in docs.columns}
+    by, place = "shard", "slot"
+    while by in names:
+        by = f"_{by}"
+    while place in names:
+        place = f"_{place}"
+    placed = shard(docs, shards).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns], F.col("shard").alias(by), F.col("slot").alias(place))
+    placed.repartitionByRange(by, place).sortWithinPartitions(by, place).write.option("maxRecordsPerFile", rows_per_file).partitionBy(by).parquet(path)
 
 
 def shard_of(value: int, splitters: list[int]) -> int:

@@ -163,6 +163,20 @@ def test_shards(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+@pytest.mark.parametrize("clash", [True, False])
+def test_written_shards(spark, tmp_path, clash):
+    more = "shard long, Slot string, _shard long" if clash else "other long"
+    data = [(i, f"text {i % 40}", *([i, "x", -i] if clash else [i])) for i in range(200)]
+    docs = spark.createDataFrame(data, f"doc_id long, text string, {more}")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    by, place = ("__shard", "_slot") if clash else ("shard", "slot")
+    assert set(got.columns) == {*docs.columns, by, place}
+    assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    for k in range(4):
+        assert sorted(r[place] for r in got.where(F.col(by) == k).collect()) == list(range(got.where(F.col(by) == k).count()))
+
+
 def test_overfull_ranges_are_divided(spark, monkeypatch):
     many = spark.createDataFrame([(i, "copy" if i % 2 else f"t{i}") for i in range(4000)], "doc_id long, text string")
     monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 1)
