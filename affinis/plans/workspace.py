@@ -17,6 +17,8 @@ from affinis.sources import ratings as source
 
 #: Up to so many users (some 16 MB) are broadcast to meet the catalogue.
 BROADCAST_USERS = 1_000_000
+#: Characters of a plan's text that Spark keeps for its listeners.
+PLAN_CHARS = 50_000
 
 
 class Workspace:
@@ -30,6 +32,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = SMALL, catalog: bool = False, noise: bool = False, tables: dict[str, DataFrame] | None = None, models: dict[str, DataFrame] | None = None, report: bool = False) -> None:
         self.spark, self.sf_dir, self.p, self.catalog, self.noise = spark, sf_dir, params, catalog, noise
         self.tables, self.models, self.report, self.kept = tables or {}, models or {}, report, []
+        # kept tables stand in plans with the plans that made them, so texts of whole plans outgrow the driver
+        if int(spark.conf.get("spark.sql.maxPlanStringLength", str(PLAN_CHARS + 1))) > PLAN_CHARS:
+            spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
