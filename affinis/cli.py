@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,13 +112,14 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--csv", action="store_true")
     parser.add_argument("--stages", nargs="*", choices=list(S.REGISTRY), default=list(STAGES))
     parser.add_argument("--full-size", action="store_true", help="1000 candidates for each ranking user, not 100")
+    parser.add_argument("--bpr-blocks", action="store_true", help="train bpr in blocks of users, for ratings that are too many for a task")
     parser.add_argument("--merge", action="store_true", help="only put together the results of earlier runs")
     parser.add_argument("--restart", action="store_true", help="make everything anew, also under another configuration")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("affinis").getOrCreate()
     store = Artifacts(spark, given.out)
     if not given.merge:
-        params = Params() if given.full_size else SMALL
+        params = replace(Params() if given.full_size else SMALL, bpr_in_blocks=given.bpr_blocks)
         plain = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(params).items()}
         configure(store, {"data": given.data, "csv": given.csv, **plain}, given.restart)
         w = Workspace(spark, given.data, params, catalog=True, tables=csv_tables(spark, given.data) if given.csv else None)

@@ -59,26 +59,29 @@ def build(heldout: DataFrame, train: DataFrame, known: DataFrame, relevance: flo
     return candidates(chosen, negatives(unobserved(chosen, train, known, few=True), n - 1, seed), seed)
 
 
-def bpr_negatives(positives: DataFrame, train: DataFrame, seed: int) -> DataFrame:
-    """(user_id, item_id, negative): for each positive one item of the catalogue that the user has not rated.
+def bpr_negatives(positives: DataFrame, train: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, item_id, *more, negative): for each positive one item of the catalogue that the user has not rated.
+
+    Rows of ``positives`` that differ in the columns ``more`` have draws of their own.
 
     Draws are a chain of hashed places in the catalogue, up to DRAWS of them; the first that is free is taken.
     Where the chain has no free one, it is the first of all the user's unrated items in a shuffle; only a user who
     has rated everything has no row.
     """
+    key = ["user_id", "item_id", *more]
     catalog = train.select("item_id").distinct()
     placed = dense_ids(catalog, "item_id").select(F.col("item_id").alias("negative"), F.col("dense_id").alias("place"))
     size = catalog.agg(F.count("*").alias("size"))
-    tries = positives.select("user_id", "item_id").crossJoin(F.broadcast(size)).select("user_id", "item_id", "size", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
-    number = F.conv(F.substring(shuffled(F.lit(seed), F.col("user_id"), F.col("item_id"), F.col("draw")), 1, 12), 16, 10).cast("bigint")
+    tries = positives.select(*key).crossJoin(F.broadcast(size)).select(*key, "size", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
+    number = F.conv(F.substring(shuffled(F.lit(seed), *map(F.col, key), F.col("draw")), 1, 12), 16, 10).cast("bigint")
     tries = tries.withColumn("place", (number % F.col("size")).cast("int")).join(placed, "place")
     taken = train.select("user_id", F.col("item_id").alias("negative"), F.lit(True).alias("taken"))
-    chains = tries.join(taken, ["user_id", "negative"], "left").groupBy("user_id", "item_id").agg(F.min(F.when(F.col("taken").isNull(), F.struct("draw", "negative"))).alias("x"))
-    drawn = chains.where("x IS NOT NULL").select("user_id", "item_id", F.col("x.negative").alias("negative"))
-    left = chains.where("x IS NULL").select("user_id", "item_id")
+    chains = tries.join(taken, ["user_id", "negative"], "left").groupBy(*key).agg(F.min(F.when(F.col("taken").isNull(), F.struct("draw", "negative"))).alias("x"))
+    drawn = chains.where("x IS NOT NULL").select(*key, F.col("x.negative").alias("negative"))
+    left = chains.where("x IS NULL").select(*key)
     free = unobserved(left.select("user_id").distinct(), train, train.select("user_id", "item_id")).withColumnRenamed("item_id", "negative")
-    order = F.struct(shuffled(F.lit(seed), F.col("user_id"), F.col("item_id"), F.lit("f"), F.col("negative")).alias("by"), "negative")
-    scanned = left.join(free, "user_id").groupBy("user_id", "item_id").agg(F.min(order).alias("x")).select("user_id", "item_id", F.col("x.negative").alias("negative"))
+    order = F.struct(shuffled(F.lit(seed), *map(F.col, key), F.lit("f"), F.col("negative")).alias("by"), "negative")
+    scanned = left.join(free, "user_id").groupBy(*key).agg(F.min(order).alias("x")).select(*key, F.col("x.negative").alias("negative"))
     return drawn.unionByName(scanned)
 
 

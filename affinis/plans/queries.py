@@ -224,6 +224,7 @@ register("mf_grid", None, lambda w: trainers.mf_monitor(w.train, w.p), catalog=T
 register("bpr_grid", None, lambda w: trainers.bpr_monitor(w.train, w.p), catalog=True)
 register("mf_select", None, lambda w: trainers.best_mf(trainers.mf_errors(w.keep(trainers.mf_grid(w.train, w.p)), w.split("validation"))), catalog=True)
 register("bpr_select", None, lambda w: trainers.best_bpr(trainers.bpr_quality(w.keep(trainers.bpr_grid(w.train, w.p)), w.candidates("validation"), w.p.cutoff, w.p.candidates)), catalog=True)
+register("bpr_blocks", None, lambda w: trainers.bpr_quality(w.bpr_blocks(), w.candidates("validation"), w.p.cutoff, w.p.candidates), catalog=True)
 register("mf_als", None, lambda w: trainers.mf_als(w.train, w.p, w.p.mf_grid[1]).select("side", "id", "bias", F.size("factors").alias("n_factors")), catalog=True)
 register("factor_pca", None, lambda w: reports.factor_pca(w.mf_users))
 

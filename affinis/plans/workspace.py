@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.columns import shown, steady, uniform
 from affinis.operators import candidates as C
-from affinis.operators import content, ensemble, factors, metrics, neighbors, prepare, similarity, trainers, validate
+from affinis.operators import blocks, content, ensemble, factors, metrics, neighbors, prepare, similarity, trainers, validate
 from affinis.schema import SMALL, Params
 from affinis.sources import ratings as source
 
@@ -204,13 +204,17 @@ class Workspace:
     def bpr_items(self) -> DataFrame:
         return self._side("bpr", "items", "item_id") or self.stand_in(self.train, "item_id", 3, None)
 
+    def bpr_blocks(self) -> DataFrame:
+        """A model for each regularisation, of the trainer for data of any size."""
+        return blocks.bpr_blocks(self.train, self.p)
+
     def train_model(self, model: str) -> DataFrame:
         """(reg, side, id, bias, factors, seen) of the regularisation that does best on the validation split."""
         if model == "mf":
             grid = self.keep(trainers.mf_grid(self.train, self.p))
             best = trainers.best_mf(trainers.mf_errors(grid, self.split("validation")))
         else:
-            grid = self.keep(trainers.bpr_grid(self.train, self.p))
+            grid = self.bpr_blocks() if self.p.bpr_in_blocks else self.keep(trainers.bpr_grid(self.train, self.p))
             best = trainers.best_bpr(trainers.bpr_quality(grid, self.candidates("validation"), self.p.cutoff, self.p.candidates))
         return grid.join(F.broadcast(best.select("reg")), "reg")
 

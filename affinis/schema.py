@@ -60,6 +60,7 @@ class Params:
     bpr_scale: float = 0.01
     bpr_grid: tuple[float, ...] = (0.0025, 0.01)
     bpr_negatives: int = 4
+    bpr_in_blocks: bool = False
     monitored: int = 2000
     seed: int = 42
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.functions.columns import clip, discount, dot, logistic, safe_div, shown
-from affinis.operators import candidates, content, ensemble, factors, metrics, neighbors, prepare, similarity, trainers, validate
+from affinis.operators import blocks, candidates, content, ensemble, factors, metrics, neighbors, prepare, similarity, trainers, validate
 from affinis.schema import Params
 from affinis.sources import ratings as source
 from affinis.sources.artifacts import Artifacts, load_results, merge_results, nested_metric
@@ -236,6 +236,55 @@ def test_artifacts(spark, tmp_path):
     assert {r.stage: r.rmse for r in merge_results(parts).collect()} == {"a": 2.0, "b": 3.0}
 
 
+def test_blocks_learn(spark):
+    """Users of two tastes; blocks of 300 triples, so that items are shared by several, against the trainer of one task."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    rows = [(u, i, 5.0 if u % 2 == i % 2 else 1.0) for u in range(60) for i in range(30) if rng.random() < 0.5]
+    odd = [(100, i, 4.0) for i in range(30)] + [(101, 0, 1.0), (102, None, 5.0), (None, 3, 5.0), (103, 4, None)]
+    p = Params(factors=8, bpr_rate=0.05, bpr_grid=(0.0025, 0.01))
+    train = spark.createDataFrame(rows + odd + rows[:10], RATED)
+    model = blocks.bpr_blocks(train, p, 8, rows=300).collect()
+    assert {r.reg for r in model} == set(p.bpr_grid)
+    model = [r for r in model if r.reg == p.bpr_grid[0]]
+    users, items = ({r.id: np.array(r.factors) for r in model if r.side == s and r.seen} for s in ("users", "items"))
+    assert set(users) == set(range(60)) and set(items) == set(range(30))
+    unseen = [r for r in model if r.side == "users" and not r.seen]
+    assert {r.id for r in unseen} == {100, 101} and not any(any(r.factors) for r in unseen)
+    rated = {x[:2] for x in rows}
+
+    def right(users, items):
+        """The share of a user's unrated items of the right taste that are before one of the wrong taste."""
+        free = {u: ([users[u] @ items[i] for i in range(30) if (u, i) not in rated and i % 2 == u % 2], [users[u] @ items[i] for i in range(30) if (u, i) not in rated and i % 2 != u % 2]) for u in range(60)}
+        return np.mean([a > b for good, bad in free.values() for a in good for b in bad])
+
+    one = trainers.train_bpr(pd.DataFrame(rows, columns=["user_id", "item_id", "rating"]), 0.0025, p, 8)[0]
+    alone = right(*(dict(zip(*one[s][::2])) for s in ("users", "items")))
+    assert right(users, items) > max(0.8, alone - 0.1)
+
+
+def test_blocks_of_nothing(spark):
+    model = blocks.bpr_blocks(spark.createDataFrame([], RATED), Params(factors=4), 2)
+    assert {r.side for r in model.collect()} == {"mu"}
+
+
+def test_a_block_does_the_published_update():
+    """One triple: p += rate (g (qi - qj) - reg p), and so on, from the factors before; the same again for the same seed."""
+    import numpy as np
+    import pandas as pd
+
+    x, y, z = np.array([1.0, 2.0]), np.array([0.5, 0.0]), np.array([0.0, -1.0])
+    triples = pd.DataFrame({"user_id": [7], "item_id": [1], "negative": [9], "d": [1]})
+    known = pd.DataFrame({"side": ["users", "items", "items"], "id": [7, 9, 1], "factors": [list(x), list(z), list(y)]})
+    got = {(r.side, r.id): r.step for r in blocks.learn(triples, known, 0.1, 0.01, [1]).itertuples()}
+    g = 1 / (1 + math.exp(x @ (y - z)))
+    assert got["users", 7] == pytest.approx(0.1 * (g * (y - z) - 0.01 * x))
+    assert got["items", 1] == pytest.approx(0.1 * (g * x - 0.01 * y))
+    assert got["items", 9] == pytest.approx(0.1 * (-g * x - 0.01 * z))
+
+
 def test_every_positive_has_a_negative(spark):
     """User 1 knows all but one of 30 items, user 2 all but three, user 3 all."""
     rows = [(1, k, 4.0) for k in range(29)] + [(2, k, 4.0) for k in range(27)] + [(3, k, 4.0) for k in range(30)]
