@@ -260,7 +260,7 @@ def components(docs: DataFrame, keep: list[str] | None = None, width: int = SHIN
 
 #: Near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 NEAR_WORDS, SIMILAR = 5, (4, 5)
-#: Candidates share a table's key, NEAR_ROWS minima of hashed shingles: a pair of similarity s meets in none of
+#: Beside those of the index, candidates share a table's key, NEAR_ROWS minima of hashed shingles: a pair of similarity s meets in none of
 #: the tables with a chance of (1 - s ** NEAR_ROWS) ** NEAR_TABLES, 3 in a million at 0.8, whatever the edits are.
 NEAR_TABLES, NEAR_ROWS = 24, 4
 #: A group that is compared holds about so many shingles; larger ones are cut into blocks, each pair of which is a group.
@@ -297,20 +297,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, node, n, keys): a hash of the text, its number of different shingles, and a key for each table."""
+    """(id, node, n, fp, keys): a hash of the text, its number of different shingles, its fingerprint of five-word shingles, and a key for each table."""
     ready_workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _node().alias("node"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, fps, keys = [], [], []
             for text in batch.column("text").to_pylist():
-                grams = shingle_set(text)
+                hashes = _hashes(_shingles(_words(text), NEAR_WORDS), 42)
+                grams = np.unique(hashes)
                 sizes.append(len(grams))
+                fps.append(_majority(hashes))
                 keys.append(table_keys(grams))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(sizes, pa.int32()), _lists(keys)], ["id", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(sizes, pa.int32()), _signed(fps), _lists(keys)], ["id", "node", "n", "fp", "keys"])
 
-    return rows.mapInArrow(run, "id long, node long, n int, keys array<long>")
+    return rows.mapInArrow(run, "id long, node long, n int, fp long, keys array<long>")
+
+
+def index_keys(nodes: DataFrame) -> DataFrame:
+    """(node, n, key) from (node, n, fp): one key for all nodes whose fingerprints the Gray-order index links, directly or through others."""
+    prints = cut(nodes.select("fp").distinct())
+    found = connected_components(links(prints.select(F.col("fp").alias("node"), "fp"), RADIUS)).withColumnRenamed("node", "fp")
+    component = F.coalesce("component", "fp")  # components of one fingerprint have no row there
+    return nodes.join(found, "fp", "left").select("node", "n", F.xxhash64(F.lit("index"), component).alias("key"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -391,11 +401,14 @@ def similar_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(id, node, component_id) of each document, over near copies: five-word shingles of a similarity of 0.8 or more.
 
-    Candidates share a key of a table; each link is confirmed on both sets of shingles. Links are followed through,
-    so a component can hold pairs of less. Nodes are hashes of texts; documents without an id link nothing.
+    Candidates are what the index over fingerprints links, as for the fingerprint query; pairs whose fingerprints differ in
+    more bits, as those of 0.8 mostly do, are candidates by a shared key of a table. Each link is confirmed on both sets of
+    shingles. Links are followed through, so a component can hold pairs of less. Nodes are hashes of texts; documents without
+    an id link nothing.
     """
     signed = cut(signatures(docs))
-    rows = cut(signed.where("id IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))).select("node", "n", F.explode("keys").alias("key"))
+    nodes = cut(signed.where("id IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")]))
+    rows = index_keys(nodes.select("node", "n", "fp")).unionByName(nodes.select("node", "n", F.explode("keys").alias("key")))
     shared = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
     members = cut(rows.join(shared, "key").select("key", "node", "n", "leader"))
     sets = cut(shingle_sets(docs, members.select("node").distinct()))
