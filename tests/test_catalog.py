@@ -18,3 +18,13 @@ def test_lines_are_restricted_before_they_are_joined(spark, noise):
     assert semi > join, lines  # below the join with orders
     whole = w.raw.where("item_id < 20")
     assert w.in_catalog.count() == whole.count() > 0 and w.in_catalog.exceptAll(whole.select(w.in_catalog.columns)).count() == 0
+
+
+def test_plans_of_a_report_are_cut(spark):
+    """What stages share, and each stage's row, are tables: the last plan has none of the steps before."""
+    from affinis.plans import reports
+
+    w = Workspace(spark, DATA, catalog=True, report=True)
+    plan = reports.rating(w, ("global_mean", "mf", "bpr"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "Join" not in plan and len(plan.splitlines()) < 20
+    assert w.release() is None and reports.rating(w, ("global_mean",)).count() == 1
