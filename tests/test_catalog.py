@@ -28,3 +28,26 @@ def test_plans_of_a_report_are_cut(spark):
     plan = reports.rating(w, ("global_mean", "mf", "bpr"))._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" not in plan and "Join" not in plan and len(plan.splitlines()) < 20
     assert w.release() is None and reports.rating(w, ("global_mean",)).count() == 1
+
+
+def test_a_report_scores_factors_and_components_once(spark):
+    """Stages of a report that are made of one another read the same tables: three held-out tables and four of candidates, whatever the stages."""
+    from affinis.plans import reports
+
+    class Counted(Workspace):
+        calls: dict[str, int] = {}
+
+    def counted(name):
+        def run(self, *args):
+            Counted.calls[name] = Counted.calls.get(name, 0) + 1
+            return getattr(Workspace, name)(self, *args)
+
+        return run
+
+    for name in ("mf", "bpr", "near", "components"):
+        setattr(Counted, name, counted(name))
+    w = Counted(spark, DATA, catalog=True, report=True)
+    stages = ("genome_content", "user_knn", "mf", "bpr", "hybrid", "mf_bpr")
+    got = {r.stage: (r.rmse, r.ndcg) for r in reports.tradeoff(w, stages).collect()}
+    assert Counted.calls == {"mf": 1, "near": 4, "components": 2}
+    assert set(got) == set(stages)
